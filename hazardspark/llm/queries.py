@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
-from hazardspark.llm import chat_format, embedding_dedup, language_id, ngram_jaccard, packing, substring_dedup, topk, toxicity
+from hazardspark.llm import chat_format, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity
 
 
 def crc_mod(n: int, id: str = "doc_id"):
@@ -23,6 +27,22 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(c.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the digest of the text decoded from them."""
+
+    def digests(batches):
+        table = sentencepiece_lattice.pieces(sentencepiece_lattice.default_model()).bytes
+        for batch in batches:
+            ids = batch.column("ids")
+            off, flat = ids.offsets.to_numpy(), np.ascontiguousarray(ids.values.to_numpy().astype("<u4"))
+            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(off[:-1], off[1:], strict=True)]
+            sha = [hashlib.sha256(b"".join([table[i] for i in flat[a:b].tolist()])[1:]).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+
+    found = sentencepiece_lattice.encode(c.table(spark, sf_dir, "documents"))
+    return found.mapInArrow(digests, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(crc_mod(3) != 1))
@@ -64,6 +84,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_topk": op2_topk,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
