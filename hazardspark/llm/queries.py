@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
-from hazardspark.llm import chat_format, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity
+from hazardspark.llm import chat_format, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity
 
 
 def crc_mod(n: int, id: str = "doc_id"):
@@ -53,6 +53,12 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(c.table(spark, sf_dir, "documents")))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    found = context_mixing.score(docs, crc_mod(5) != 1)
+    return found.select("doc_id", (crc_mod(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(c.table(spark, sf_dir, "documents"))
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_context_mixing": op7_context_mixing,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
