@@ -21,7 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; learnt from those that have a label."""
     labels = c.table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"), language_id.fit(docs))
+    model = toxicity.fit(docs, labels, language_id.fit(docs))
     return toxicity.clean(docs, model)
 
 

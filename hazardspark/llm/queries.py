@@ -70,7 +70,7 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str, language: language_id.LanguageId, train) -> toxicity.Toxicity:
     labels = c.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(train)
     docs = c.table(spark, sf_dir, "documents").select("doc_id", "text").where(train)
-    return toxicity.fit(docs.join(labels, "doc_id"), language)
+    return toxicity.fit(docs, labels, language)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
