@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = np.uint64(0xC2B2AE3D27D4EB4F | 1)
 SPACE = np.zeros(256, dtype=bool)
@@ -160,11 +160,13 @@ SKETCH_SCHEMA = "slice int, cells binary, counts binary"
 def sketch_rows(cells: np.ndarray) -> pa.RecordBatch:
     """A partition's sketch: each of its cells with a count of at most 255. cells: one for each document and item."""
     cells, counts = np.unique(cells, return_counts=True)
+    if not len(cells):
+        return pa.RecordBatch.from_pylist([], pa.schema([("slice", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
     slices = (cells >> SLICE_BITS).astype(np.int64)
     cut = np.flatnonzero(np.diff(slices, prepend=-1))
     counts = np.minimum(counts, 255).astype(np.uint8)
     rows = [(int(slices[a]), encode_gaps(cells[a:b] & ((1 << SLICE_BITS) - 1)), counts[a:b].tobytes() if (counts[a:b] > 1).any() else b"") for a, b in zip(cut, [*cut[1:], len(cells)], strict=True)]
-    s, c, n = zip(*rows, strict=True) if rows else ((), (), ())
+    s, c, n = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.binary()), pa.array(n, pa.binary())], names=["slice", "cells", "counts"])
 
 

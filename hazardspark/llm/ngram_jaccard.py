@@ -186,7 +186,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
         cells = [np.empty(0, dtype=np.uint64)]
         for _, texts in _each(batches):
             cells.append(sets(texts, n)[0] >> shift)
-            if sum(map(len, cells)) > 8_000_000:
+            if sum(map(len, cells)) > 3_000_000:
                 yield c.sketch_rows(np.concatenate(cells).astype(np.int64))
                 cells = []
         if cells:
