@@ -93,11 +93,11 @@ def nearby_sources(reports: DataFrame, radius_m: float = 15000, minutes: int = 9
 
 
 def reliability(reports: DataFrame) -> DataFrame:
-    """score of trust, weather support, nearby sources and location, and its band."""
+    """score of trust, weather support, nearby sources and location, and its band. Halves round up, whatever the last bit of the sum."""
     trust = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rules.SOURCE_TRUST.items() for x in kv]), F.col("source_type")), F.lit(rules.UNKNOWN_TRUST))
     score = 0.30 * trust + 0.30 * F.col("support") + 0.20 * F.least(F.col("nearby") / 5, F.lit(1.0)) + 0.20 * clamp(F.col("location_confidence"))
     band = F.when(F.col("score") >= 0.75, "VERIFIABLE").when(F.col("score") >= 0.40, "NEEDS_REVIEW").otherwise("INSUFFICIENT_EVIDENCE")
-    return reports.withColumn("score", F.round(score, 4)).withColumn("band", band)
+    return reports.withColumn("score", F.round(score + 1e-9, 4)).withColumn("band", band)
 
 
 def route(alerts: DataFrame, authorities: DataFrame) -> DataFrame:

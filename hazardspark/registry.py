@@ -149,11 +149,11 @@ def nearby_sources(r):
     return s.nearby_sources(r)
 
 
-@query("fx_reports", sql=f"""WITH {_NEAR}, p AS ({_PARTS}), q AS (SELECT p.report_id, round(round(0.3 * CASE source_type WHEN 'GOVERNMENT' THEN 1.0::DOUBLE WHEN 'WEATHER_API' THEN 1.0 WHEN 'SATELLITE' THEN 0.9 WHEN 'WEB_RSS' THEN 0.7 WHEN 'CITIZEN' THEN 0.6 WHEN 'SOCIAL' THEN 0.5 ELSE 0.5 END + 0.3 * round({_SUPPORT}, 4) + 0.2 * least(coalesce(n.nearby, 0) / 5.0::DOUBLE, 1) + 0.2 * location_confidence, 4), 3) score FROM p LEFT JOIN n USING (report_id))
+@query("fx_reports", sql=f"""WITH {_NEAR}, p AS ({_PARTS}), q AS (SELECT p.report_id, round(round(0.3 * CASE source_type WHEN 'GOVERNMENT' THEN 1.0::DOUBLE WHEN 'WEATHER_API' THEN 1.0 WHEN 'SATELLITE' THEN 0.9 WHEN 'WEB_RSS' THEN 0.7 WHEN 'CITIZEN' THEN 0.6 WHEN 'SOCIAL' THEN 0.5 ELSE 0.5 END + 0.3 * round({_SUPPORT}, 4) + 0.2 * least(coalesce(n.nearby, 0) / 5.0::DOUBLE, 1) + 0.2 * location_confidence + 1e-9, 4), 4) score FROM p LEFT JOIN n USING (report_id))
 SELECT report_id, score FROM q""")
 def reliability(r):
     rows = r.join(s.nearby_sources(r), "report_id").withColumn("support", s.support(F.col("predicted_event_type")))
-    return s.reliability(rows).select("report_id", F.round("score", 3).alias("score"))
+    return s.reliability(rows).select("report_id", F.col("score"))
 
 
 @query("fx_alerts", "fx_authorities", sql="""WITH r AS (SELECT *, CASE level WHEN 'RED' THEN 3 WHEN 'ORANGE' THEN 2 WHEN 'YELLOW' THEN 1 ELSE 0 END lr FROM fx_alerts)
