@@ -1,7 +1,8 @@
 """SentencePiece encoding by a relational lattice and a Viterbi fold, and decoding.
 
-A text is cut before each run of spaces. Pieces hold spaces only at their
-beginning, so a segment can be encoded by itself, once for each batch of documents. The
+A text is cut before each run of spaces, and its words wherever two characters meet
+that are side by side in no piece. No piece crosses such a place,
+so a segment can be encoded by itself, once for each batch of documents. The
 lattice of all segments of a batch is made set-wise: their substrings of at most the
 longest piece's length are joined to the piece table by equality, and edges are
 grouped by segment and end. The best path is a fold with Spark's aggregate():
@@ -60,19 +61,25 @@ class Pieces:
             self.bytes[i] = self.text[i].replace("▁", " ").encode()
         self.longest = max(len(self.text[i]) for i in plain)
         self.missing = min(self.score.values()) - LAST
-        self.by_length = {}
+        by_text = {self.text[i]: i for i in plain}
+        self.by_length = []
         for k in range(1, self.longest + 1):
-            own = [i for i in plain if len(self.text[i]) == k]
-            if own:
-                h = substrings(np.array([ord(x) for i in own for x in self.text[i]], dtype=np.uint32), k)[::k]
-                order = np.argsort(h)
-                sieve = np.zeros(1 << 20, dtype=bool)
-                sieve[h >> np.uint64(44)] = True
-                self.by_length[k] = (h[order], np.array(own, dtype=np.int32)[order], np.array([self.score[i] for i in own])[order], sieve)
+            own = sorted({self.text[i][:k] for i in plain if len(self.text[i]) >= k})
+            h = prefixes(np.array([ord(x) for t in own for x in t], dtype=np.uint32))(np.arange(len(own)) * k, k)
+            order = np.argsort(h)
+            sieve = np.zeros(1 << 20, dtype=bool)
+            sieve[h >> np.uint64(44)] = True
+            ids = np.array([by_text.get(own[i], -1) for i in order], dtype=np.int32)
+            self.by_length.append((h[order], ids, np.array([self.score.get(i, 0.0) for i in ids.tolist()]), sieve))
+        self.pairs = np.unique(np.array([0] + [ord(a) << 32 | ord(b) for t in by_text for a, b in zip(t, t[1:], strict=False)], dtype=np.uint64))
 
 
-def substrings(points: np.ndarray, k: int) -> np.ndarray:
-    return c.grams(points.astype(np.uint64), k)
+def prefixes(points: np.ndarray):
+    """A function from places and a length to the hashes of the substrings that begin there."""
+    up, down = c.powers(c._BASE2, len(points) + 1)
+    total = np.zeros(len(points) + 1, dtype=np.uint64)
+    np.cumsum(points.astype(np.uint64) * up[: len(points)], out=total[1:])
+    return lambda at, k: c.mix((total[at + k] - total[at]) * down[at] + np.uint64(k))
 
 
 _tables: dict[str, Pieces] = {}
@@ -94,28 +101,48 @@ def points_of(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return p, at
 
 
+def irreducible(words: list[str], table: Pieces) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct segments of words; which of them, in order, make them up; and where each word's begin.
+
+    A word is cut between two characters that stand side by side in no piece: no edge crosses that place.
+    """
+    if not words:
+        return [], np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    p, at = points_of(words)
+    first = np.zeros(len(p), dtype=bool)
+    pair = p[:-1].astype(np.uint64) << np.uint64(32) | p[1:]
+    first[1:] = table.pairs[np.minimum(np.searchsorted(table.pairs, pair), len(table.pairs) - 1)] != pair
+    first[at[:-1]] = True
+    begin = np.flatnonzero(first)
+    text, index = "".join(words), {}
+    which = [index.setdefault(text[a:b], len(index)) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=True)]
+    return list(index), np.array(which, dtype=np.int64), np.searchsorted(begin, at)
+
+
 def lattice(segments: list[str], table: Pieces) -> pa.Array:
     """Edges of each segment by end, the ends in parts of FOLD: n characters back, piece id, score.
 
+    Substrings are lengthened only as long as they begin a piece.
     An id below 0 is a character without a piece: its code point is -id - 1.
     """
     p, at = points_of(segments)
     size = np.diff(at)
     stop = np.repeat(at[1:], size)
     ends, ns, ids, ws = [], [], [], []
-    for k, (h, own, score, sieve) in table.by_length.items():
-        if len(p) < k:
-            continue
-        g = substrings(p, k)
-        begin = np.flatnonzero(sieve[g >> np.uint64(44)])
+    hashes, begin = prefixes(p), np.arange(len(p))
+    for k, (h, own, score, sieve) in enumerate(table.by_length, 1):
         begin = begin[begin + k <= stop[begin]]
-        place = np.minimum(np.searchsorted(h, g[begin]), len(h) - 1)
-        hit = h[place] == g[begin]
+        g = hashes(begin, k)
+        likely = sieve[g >> np.uint64(44)]
+        begin, g = begin[likely], g[likely]
+        place = np.minimum(np.searchsorted(h, g), len(h) - 1)
+        hit = h[place] == g
         begin, place = begin[hit], place[hit]
-        ends.append(begin + k - 1)
-        ns.append(np.full(len(begin), k, dtype=np.int32))
-        ids.append(own[place])
-        ws.append(score[place])
+        piece = own[place] >= 0
+        ends.append(begin[piece] + k - 1)
+        ns.append(np.full(len(ends[-1]), k, dtype=np.int32))
+        ids.append(own[place[piece]])
+        ws.append(score[place[piece]])
     single = np.zeros(len(p), dtype=bool)
     for e, n in zip(ends, ns, strict=True):
         if len(n) and n[0] == 1:
@@ -137,15 +164,18 @@ def lattice(segments: list[str], table: Pieces) -> pa.Array:
 
 def viterbi(edges, longest: int):
     """array<struct<s,m,id>> of the best edge into each end: its sum, its length m and its piece, as a fold over ends."""
-    start = F.expr(f"transform(sequence(1, {longest}), i -> struct(if(i = {longest}, 0D, double('-Infinity')) AS s, 0 AS m, 0 AS id))")
+    start = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("m"), F.lit(0).alias("id")))
+
+    def tail(best):
+        return F.slice(best, F.greatest(F.size(best) - longest + 1, F.lit(1)), longest)
 
     def into(best, es):
         return F.concat(best, F.array(F.array_max(F.transform(es, lambda e: F.struct((F.element_at(best, -e["n"])["s"] + e["w"]).alias("s"), e["n"].alias("m"), e["id"].alias("id"))))))
 
     def part(done, ends):
-        return F.concat(done, F.array(F.aggregate(ends, F.slice(F.element_at(done, -1), -longest, longest), into)))
+        return F.concat(done, F.array(F.aggregate(ends, tail(F.element_at(done, -1)), into)))
 
-    return F.flatten(F.transform(F.slice(F.aggregate(edges, F.array(start), part), 2, 1 << 30), lambda x: F.slice(x, longest + 1, 1 << 30)))
+    return F.flatten(F.transform(F.slice(F.aggregate(edges, F.array(start), part), 2, 1 << 30), lambda x, i: F.slice(x, F.when(i == 0, 2).otherwise(longest + 1), 1 << 30)))
 
 
 def paths(n: np.ndarray, i: np.ndarray, at: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +212,12 @@ def paths(n: np.ndarray, i: np.ndarray, at: np.ndarray, table: Pieces) -> tuple[
     return f.astype(np.int32), np.searchsorted(o, np.arange(len(at)))
 
 
+def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges lo to hi, one range after the other."""
+    n = hi - lo
+    return np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
 def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids array<int>), a row for each row of docs, null ids included.
 
@@ -196,15 +232,15 @@ def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text:
         kind = pa.list_(pa.list_(pa.list_(pa.struct([("n", pa.int32()), ("id", pa.int32()), ("w", pa.float64())]))))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in c.pieces([(t or "").encode("utf-8", "surrogatepass") for t in texts], CHUNK):
+            for lo, hi in c.pieces(texts, CHUNK):
                 index: dict[str, int] = {}
                 rows = [[index.setdefault(s, len(index)) for s in _SEGMENT.findall(" " + t)] if t else [] for t in texts[lo:hi]]
-                words = list(index)
-                for a, b in c.pieces([w.encode("utf-8", "surrogatepass") for w in words], c.CHUNK_BYTES // 8):
-                    yield pa.RecordBatch.from_arrays([none(b - a, pa.int64()), none(b - a, pa.binary()), lattice(words[a:b], table)], names=["doc_id", "payload", "edges"])
+                own, which, at = irreducible(list(index), table)
+                for a, b in c.pieces(own, c.CHUNK_BYTES // 8):
+                    yield pa.RecordBatch.from_arrays([none(b - a, pa.int64()), none(b - a, pa.binary()), lattice(own[a:b], table)], names=["doc_id", "payload", "edges"])
                 for a in range(0, hi - lo, 1000):
-                    part = rows[a : a + 1000]
-                    yield pa.RecordBatch.from_arrays([ids[lo + a : lo + a + len(part)], pa.array([np.array(r, dtype=np.int32).tobytes() for r in part], pa.binary()), none(len(part), kind)], names=["doc_id", "payload", "edges"])
+                    part = [np.array(r, dtype=np.int64) for r in rows[a : a + 1000]]
+                    yield pa.RecordBatch.from_arrays([ids[lo + a : lo + a + len(part)], pa.array([which[ranges(at[r], at[r + 1])].astype(np.int32).tobytes() for r in part], pa.binary()), none(len(part), kind)], names=["doc_id", "payload", "edges"])
 
     def documents(batches):
         table = pieces(path)
@@ -234,8 +270,7 @@ def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text:
                     out, ends = [], [0]
                     for p in part.column("payload").to_pylist():
                         seg = np.frombuffer(p, dtype=np.int32)
-                        n = whole[1][seg + 1] - whole[1][seg]
-                        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(whole[1][seg], n)
+                        place = ranges(whole[1][seg], whole[1][seg + 1])
                         out.append(whole[0][place])
                         ends.append(ends[-1] + len(place))
                     ids = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.concatenate(out)))

@@ -191,6 +191,31 @@ def test_sentencepiece_round_trip(spark):
     assert [r.text for r in sentencepiece_lattice.decode(sentencepiece_lattice.encode(df)).orderBy("doc_id").collect()] == [t or "" for t in odd]
 
 
+def test_sentencepiece_best_path(spark):
+    table = sentencepiece_lattice.pieces(sentencepiece_lattice.default_model())
+    plain = {table.text[i].replace("▁", " "): (i, w) for i, w in table.score.items()}
+    texts = ["The cat, (sat) on 1234 mats...", "a\u2581b  c\nNew!?", "x" * 300 + "queairetretion" * 40, "été 😀 日本", "."]
+
+    def best(t):
+        t = " " + t
+        at = [(0.0, 0, 0, [])]
+        for e in range(1, len(t) + 1):
+            found = []
+            for n in range(1, min(e, table.longest) + 1):
+                if t[e - n : e] in plain:
+                    i, w = plain[t[e - n : e]]
+                    found.append((at[e - n][0] + w, n, i, at[e - n][3] + [i]))
+            if not any(x[1] == 1 for x in found):
+                own = [int(table.byte[b]) for b in t[e - 1].encode()]
+                found.append((at[e - 1][0] + table.missing, 1, -1, at[e - 1][3] + own))
+            at.append(max(found, key=lambda x: x[:2]))
+        return at[-1][3]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(df).collect()}
+    assert got == {k: best(t) for k, t in enumerate(texts)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert ngram_jaccard.ngram_jaccard(none).count() == 0
