@@ -41,7 +41,10 @@ def default_model() -> str:
 
 
 class Pieces:
-    """The piece table of a model file: ordinary pieces by hash, byte pieces by byte."""
+    """The piece table of a model file: ordinary pieces by hash, byte pieces by byte.
+
+    A piece that scores less than other pieces in a row that spell it is on no best path; the lattice leaves it out.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -59,19 +62,29 @@ class Pieces:
                 self.byte[b], self.bytes[i] = i, bytes([b])
         for i in plain:
             self.bytes[i] = self.text[i].replace("▁", " ").encode()
-        self.longest = max(len(self.text[i]) for i in plain)
         self.missing = min(self.score.values()) - LAST
         by_text = {self.text[i]: i for i in plain}
+        scores = {t: self.score[i] for t, i in by_text.items()}
+        useful = {t: i for t, i in by_text.items() if best_split(t, scores) <= self.score[i] + 1e-6}
+        self.longest = max(map(len, useful))
         self.by_length = []
         for k in range(1, self.longest + 1):
-            own = sorted({self.text[i][:k] for i in plain if len(self.text[i]) >= k})
+            own = sorted({t[:k] for t in useful if len(t) >= k})
             h = prefixes(np.array([ord(x) for t in own for x in t], dtype=np.uint32))(np.arange(len(own)) * k, k)
             order = np.argsort(h)
             sieve = np.zeros(1 << 20, dtype=bool)
             sieve[h >> np.uint64(44)] = True
-            ids = np.array([by_text.get(own[i], -1) for i in order], dtype=np.int32)
+            ids = np.array([useful.get(own[i], -1) for i in order], dtype=np.int32)
             self.by_length.append((h[order], ids, np.array([self.score.get(i, 0.0) for i in ids.tolist()]), sieve))
-        self.pairs = np.unique(np.array([0] + [ord(a) << 32 | ord(b) for t in by_text for a, b in zip(t, t[1:], strict=False)], dtype=np.uint64))
+        self.pairs = np.unique(np.array([0] + [ord(a) << 32 | ord(b) for t in useful for a, b in zip(t, t[1:], strict=False)], dtype=np.uint64))
+
+
+def best_split(text: str, scores: dict[str, float]) -> float:
+    """The best sum of two or more pieces that spell text."""
+    best = [0.0]
+    for e in range(1, len(text) + 1):
+        best.append(max((best[b] + scores.get(text[b:e], -np.inf) for b in range(1 if e == len(text) else 0, e)), default=-np.inf))
+    return best[-1]
 
 
 def prefixes(points: np.ndarray):
@@ -212,6 +225,14 @@ def paths(n: np.ndarray, i: np.ndarray, at: np.ndarray, table: Pieces) -> tuple[
     return f.astype(np.int32), np.searchsorted(o, np.arange(len(at)))
 
 
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The numbers of all ranges lo to hi, one range after the other."""
     n = hi - lo
@@ -233,13 +254,13 @@ def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in c.pieces(texts, CHUNK):
-                index: dict[str, int] = {}
-                rows = [[index.setdefault(s, len(index)) for s in _SEGMENT.findall(" " + t)] if t else [] for t in texts[lo:hi]]
+                index = Numbers()
+                rows = [np.fromiter(map(index.__getitem__, _SEGMENT.findall(" " + t)), np.int64) if t else np.empty(0, np.int64) for t in texts[lo:hi]]
                 own, which, at = irreducible(list(index), table)
                 for a, b in c.pieces(own, c.CHUNK_BYTES // 8):
                     yield pa.RecordBatch.from_arrays([none(b - a, pa.int64()), none(b - a, pa.binary()), lattice(own[a:b], table)], names=["doc_id", "payload", "edges"])
                 for a in range(0, hi - lo, 1000):
-                    part = [np.array(r, dtype=np.int64) for r in rows[a : a + 1000]]
+                    part = rows[a : a + 1000]
                     yield pa.RecordBatch.from_arrays([ids[lo + a : lo + a + len(part)], pa.array([which[ranges(at[r], at[r + 1])].astype(np.int32).tobytes() for r in part], pa.binary()), none(len(part), kind)], names=["doc_id", "payload", "edges"])
 
     def documents(batches):
