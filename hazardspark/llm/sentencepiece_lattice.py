@@ -119,17 +119,18 @@ def irreducible(words: list[str], table: Pieces) -> tuple[list[str], np.ndarray,
 
     A word is cut between two characters that stand side by side in no piece: no edge crosses that place.
     """
-    if not words:
-        return [], np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    p, at = points_of(words)
-    first = np.zeros(len(p), dtype=bool)
-    pair = p[:-1].astype(np.uint64) << np.uint64(32) | p[1:]
-    first[1:] = table.pairs[np.minimum(np.searchsorted(table.pairs, pair), len(table.pairs) - 1)] != pair
-    first[at[:-1]] = True
-    begin = np.flatnonzero(first)
-    text, index = "".join(words), {}
-    which = [index.setdefault(text[a:b], len(index)) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(p)], strict=True)]
-    return list(index), np.array(which, dtype=np.int64), np.searchsorted(begin, at)
+    index, which, sizes = Numbers(), [np.empty(0, dtype=np.int64)], [np.zeros(1, dtype=np.int64)]
+    for lo, hi in c.pieces(words, c.CHUNK_BYTES):
+        p, at = points_of(words[lo:hi])
+        first = np.zeros(len(p) + 1, dtype=bool)
+        pair = p[:-1].astype(np.uint64) << np.uint64(32) | p[1:]
+        first[1:-1] = table.pairs[np.minimum(np.searchsorted(table.pairs, pair), len(table.pairs) - 1)] != pair
+        first[at] = True
+        begin = np.flatnonzero(first)
+        text, ends = "".join(words[lo:hi]), begin.tolist()
+        which.append(np.fromiter((index[text[a:b]] for a, b in zip(ends, ends[1:], strict=False)), np.int64))
+        sizes.append(np.diff(np.searchsorted(begin, at)))
+    return list(index), np.concatenate(which), np.cumsum(np.concatenate(sizes))
 
 
 def lattice(segments: list[str], table: Pieces) -> pa.Array:
