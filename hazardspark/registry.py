@@ -9,25 +9,13 @@ from hazardspark import rules
 from hazardspark.functions import text
 from hazardspark.operators import analytics as a
 from hazardspark.operators import scoring as s
+from hazardspark.plans import lifecycle, reports  # noqa: F401  (they register their queries)
+from hazardspark.plans.base import ORACLE, QUERIES, query  # noqa: F401
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
 _TYPES = ", ".join(f"count_if({{0}} = '{t}') AS {t.lower()}" for t in rules.EVENT_TYPES)
 _ZERO = ", ".join(f"coalesce(c.{t.lower()}, 0) AS {t.lower()}" for t in rules.EVENT_TYPES)
 
 
-def query(*views: str, sql: str | None = None):
-    """Register a query over these views, and its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(fx.view(spark, sf_dir, v) for v in views))
-        if sql:
-            ORACLE[f.__name__] = fx.with_views(sql)
-        return f
-
-    return add
-
-
 @query("fx_incidents", sql=f"""WITH p AS (SELECT state, event_type, count(*) n, sum(report_count) r, count_if(status = 'VERIFIED') v, sum(evidence_score) e FROM fx_incidents WHERE last_updated >= TIMESTAMP '{fx.AS_OF}' - INTERVAL 8760 HOURS GROUP BY ALL)
 SELECT state, CAST(sum(n) AS BIGINT) event_count, CAST(sum(r) AS BIGINT) report_count, CAST(sum(v) AS BIGINT) verified_count, round(sum(e) / sum(n), 6) avg_evidence, arg_min(event_type, (-n, event_type)) dominant_type FROM p GROUP BY state""")
 def by_state(e):

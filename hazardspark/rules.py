@@ -11,3 +11,37 @@ EARTH_RADIUS_M = 6371008.8
 # fixed values: trust in a source by its type
 SOURCE_TRUST = {"GOVERNMENT": 1.0, "WEATHER_API": 1.0, "SATELLITE": 0.9, "WEB_RSS": 0.7, "CITIZEN": 0.6, "SOCIAL": 0.5}
 UNKNOWN_TRUST = 0.5
+# fixed values: words that speak for a type, matched as substrings
+KEYWORDS = {
+    "RAIN": ["rain", "rainfall", "showers", "drizzle", "downpour", "monsoon", "बारिश", "बरसात", "વરસાદ"],
+    "FLOOD": ["flood", "flooding", "waterlogging", "water logging", "inundation", "submerged", "overflowing", "बाढ़", "जलभराव", "પૂર"],
+    "THUNDERSTORM": ["thunderstorm", "lightning", "thunder", "squall", "hailstorm", "hail", "गरज", "बिजली", "વીજળી"],
+    "HEATWAVE": ["heatwave", "heat wave", "scorching", "sweltering", "heat stroke", "loo", "गर्मी", "लू", "ગરમી"],
+    "FOG": ["fog", "foggy", "mist", "visibility", "smog", "कोहरा", "ધુમ્મસ"],
+    "DUST_STORM": ["dust storm", "duststorm", "dust", "sandstorm", "आंधी", "धूल", "ધૂળ"],
+    "STRONG_WIND": ["strong wind", "gusty wind", "gusts", "wind speed", "high winds", "तेज हवा", "પવન"],
+}
+SCORE_FLOOR = 0.02
+FLAT_SCORE = 0.1429
+# fixed values: tags that are followed
+TRACKED_HASHTAGS = ["imd", "imdweather", "weather", "weatherupdate", "weatheralert", "rain", "rains", "rainfall", "monsoon", "flood", "flooding", "waterlogging", "thunderstorm", "lightning", "heatwave", "fog", "duststorm", "cyclone", "imdalert", "ndma", "mausam"]
+# fixed values: weights of credibility flags, in their order
+FLAG_WEIGHTS = {"CONTRADICTED_BY_OBSERVATION": 0.40, "UNCORROBORATED": 0.20, "LOW_TRUST_SOURCE": 0.15, "UNRESOLVED_LOCATION": 0.10, "NO_WEATHER_SIGNAL": 0.25, "DUPLICATE_CONTENT": 0.10}
+LOW_TRUST = 0.55
+COARSE_LOCATION = 0.35
+REVIEW_RISK = 0.50
+# fixed values: wording of headlines and bulletins
+PHRASES = {"RAIN": "Heavy rainfall", "FLOOD": "Flooding", "THUNDERSTORM": "Thunderstorm activity", "HEATWAVE": "Heatwave conditions", "FOG": "Dense fog", "DUST_STORM": "Dust storm", "STRONG_WIND": "Strong winds"}
+SITUATIONS = {
+    "RAIN": "Heavy rainfall is being reported",
+    "FLOOD": "Waterlogging and flooding are being reported",
+    "THUNDERSTORM": "Thunderstorm activity with lightning is being reported",
+    "HEATWAVE": "Heatwave conditions are being reported",
+    "FOG": "Dense fog with reduced visibility is being reported",
+    "DUST_STORM": "A dust storm with reduced visibility is being reported",
+    "STRONG_WIND": "Strong winds are being reported",
+}
+CLUSTER_RADIUS_M = 15000.0
+CLUSTER_MINUTES = 90
+STALE_HOURS = 6
+MAX_ATTEMPTS = 3
