@@ -8,9 +8,10 @@ and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Give memory that is free back to the machine: a worker stays for later tasks, of other stages too."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(f: Callable) -> Callable:
+    """f over batches, releasing after each and at the end of the task."""
+
+    def settled(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def run(batches):
+        yield from f(settled(batches))
+        release()
+
+    return run
+
+
+def lean_group(f: Callable) -> Callable:
+    """f from the table of a group to a table, releasing after each."""
+
+    def run(tab):
+        out = f(tab)
+        del tab
+        release()
+        return out
+
+    return run
+
+
 def width(df: DataFrame) -> int:
     """Tasks for a shuffle that is dealt out by hand."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -191,7 +233,7 @@ def merged_sketch(partial: DataFrame, bits: int, at_least: int | None = None) ->
 
     out = np.zeros((1 << bits) // 8 if bitmap else 1 << bits, dtype=np.uint8 if bitmap else np.uint16)
     step = size // 8 if bitmap else size
-    for row in partial.repartition(width(partial), "slice").mapInArrow(merge, "slice int, data binary").toLocalIterator():
+    for row in partial.repartition(width(partial), "slice").mapInArrow(lean(merge), "slice int, data binary").toLocalIterator():
         out[row[0] * step : (row[0] + 1) * step] = np.frombuffer(row[1], dtype=out.dtype)
     return out
 

@@ -100,8 +100,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
 
     kind, item = reps.schema["label"].dataType.simpleString(), reps.schema["v"].dataType.simpleString()
     keys = f"label {kind}, dim int, block int, slab int, rep long"
-    light = reps.mapInArrow(slabs(False), keys)
-    placed = c.row_blocks(reps.mapInArrow(slabs(True), f"{keys}, n long, v {item}"), ["label", "dim", "block"], "slab", "rep", TILE, light)
+    light = reps.mapInArrow(c.lean(slabs(False)), keys)
+    placed = c.row_blocks(reps.mapInArrow(c.lean(slabs(True)), f"{keys}, n long, v {item}"), ["label", "dim", "block"], "slab", "rep", TILE, light)
     home = F.struct("label", "dim", "block", "slab", "x", "y")
 
     def join(tab: pa.Table) -> pa.Table:
@@ -126,7 +126,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
         return pa.table({"a": a, "b": b, "n": n})
 
     work = placed.withColumn("h", F.xxhash64(home)).withColumn("g", F.pmod("h", F.lit(c.width(reps) * 8)))
-    found = c.checkpointed(work.groupBy("g").applyInArrow(join, "a long, b long, n long"))
+    found = c.checkpointed(work.groupBy("g").applyInArrow(c.lean_group(join), "a long, b long, n long"))
     linked = c.components(found)
     count = found.groupBy("a").agg(F.sum("n").alias("m"))
     tied = reps.join(count, F.col("rep") == F.col("a"), "left").join(linked, F.col("rep") == F.col("node"), "left")

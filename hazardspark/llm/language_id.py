@@ -162,7 +162,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = P
 
     source = c.checkpointed(source)
     count = np.zeros(256, dtype=np.int64)
-    for b, n in source.mapInArrow(byte_counts, "b int, n long").groupBy("b").agg(F.sum("n")).collect():
+    for b, n in source.mapInArrow(c.lean(byte_counts), "b int, n long").groupBy("b").agg(F.sum("n")).collect():
         count[c.LOWER[b]] += n
     best = np.lexsort((np.arange(256), -count))[: SYMBOLS - 1]
     best = best[count[best] > 0]
@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = P
                 codes, n = np.unique(code.astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
-    grown = source.mapInArrow(tree, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).orderBy("lang", "code").toPandas()
+    grown = source.mapInArrow(c.lean(tree), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).orderBy("lang", "code").toPandas()
     trees = []
     for name in langs:
         own = grown[grown.lang == name]
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: LanguageId, id: str = "doc_id", text: str =
                 score += b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(c.lean(rows), "doc_id long, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: LanguageId, at_least: float = 0.5, text: str = "text") -> DataFrame:
@@ -224,4 +224,4 @@ def identified(docs: DataFrame, model: LanguageId, at_least: float = 0.5, text:
                 keep += [x != "und" and s >= at_least for x, s in zip(*held.value.predict(texts[lo:hi]), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(c.lean(rows), docs.schema)

@@ -164,7 +164,7 @@ def fingerprinted(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text
             s = np.diff(at)
             yield _batch("doc_id n_shingles node", ids, s, pa.array(fingerprints(g, at), mask=s == 0))
 
-    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "doc_id long, n_shingles long, node long")
+    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(c.lean(rows), "doc_id long, n_shingles long, node long")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -192,7 +192,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
         if cells:
             yield c.sketch_rows(np.concatenate(cells).astype(np.int64))
 
-    frequency = spark.sparkContext.broadcast(c.merged_sketch(docs.mapInArrow(sketch, c.SKETCH_SCHEMA), bits))
+    frequency = spark.sparkContext.broadcast(c.merged_sketch(docs.mapInArrow(c.lean(sketch), c.SKETCH_SCHEMA), bits))
     blocks = max(c.width(docs), math.ceil(letters / 6 * (100 - percent) / 100 / 1_000_000))
 
     def incidence(batches):
@@ -248,9 +248,9 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
             a, b = candidate_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), percent)
         return pa.table({"a": a, "b": b})
 
-    part = docs.mapInArrow(incidence, "block int, data binary")
+    part = docs.mapInArrow(c.lean(incidence), "block int, data binary")
     spread = part.withColumn("salt", F.when(F.col("block") < 0, (F.rand(7) * c.width(docs)).cast("int")).otherwise(0))
-    near = c.components(spread.groupBy("block", "salt").applyInArrow(lambda key, tab: pairs(tab), "a long, b long"))
+    near = c.components(spread.groupBy("block", "salt").applyInArrow(c.lean_group(pairs), "a long, b long"))
 
     # row blocks of each candidate component
     base = math.log(100 / percent)
@@ -265,7 +265,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
         for batch in batches:
             yield c.sketch_rows((c.mix(batch.column(0).to_numpy().view(np.uint64)) >> member).astype(np.int64))
 
-    present = spark.sparkContext.broadcast(c.merged_sketch(active.select("doc_id").mapInArrow(cells, c.SKETCH_SCHEMA), 25, at_least=1))
+    present = spark.sparkContext.broadcast(c.merged_sketch(active.select("doc_id").mapInArrow(c.lean(cells), c.SKETCH_SCHEMA), 25, at_least=1))
 
     def wanted(batches):
         """Drop most documents that are in no candidate component before the text is shuffled; the join drops the rest."""
@@ -291,10 +291,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
                 b.append(docs_[parent[child]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    text_of = docs.mapInArrow(wanted, "doc_id long, text string").dropDuplicates(["doc_id"])
+    text_of = docs.mapInArrow(c.lean(wanted), "doc_id long, text string").dropDuplicates(["doc_id"])
     groups = c.width(docs) * 4
     work = placed.join(text_of, "doc_id").withColumn("g", F.pmod(F.xxhash64("comp", "bin", "x", "y"), F.lit(max(groups, rows // 2000))))
-    links = work.groupBy("g").applyInArrow(verify, "a long, b long")
+    links = work.groupBy("g").applyInArrow(c.lean_group(verify), "a long, b long")
     found = c.components(links).withColumnRenamed("node", "rep")
     return (
         whole.join(reps.select("node", F.col("doc_id").alias("rep")), "node", "left")

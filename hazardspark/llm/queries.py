@@ -40,7 +40,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
 
     found = sentencepiece_lattice.encode(c.table(spark, sf_dir, "documents"))
-    return found.mapInArrow(digests, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+    return found.mapInArrow(c.lean(digests), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

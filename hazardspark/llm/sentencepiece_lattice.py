@@ -299,9 +299,9 @@ def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     read = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    cut = read.mapInArrow(segments, f"doc_id long, payload binary, edges {_EDGES}")
+    cut = read.mapInArrow(c.lean(segments), f"doc_id long, payload binary, edges {_EDGES}")
     folded = cut.select("doc_id", "payload", viterbi(F.col("edges"), longest).alias("best"))
-    return folded.mapInArrow(documents, "doc_id long, ids array<int>")
+    return folded.mapInArrow(c.lean(documents), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -314,4 +314,4 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
             out = [None if x is None else b"".join([table[i] for i in x])[1:].decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(c.lean(rows), "doc_id long, text string")

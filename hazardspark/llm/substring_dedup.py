@@ -95,7 +95,7 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
                 held, many = [np.empty(0, dtype=np.uint64)], 0
         yield c.sketch_rows(np.concatenate(held).astype(np.int64))
 
-    twice = spark.sparkContext.broadcast(c.merged_sketch(docs.mapInArrow(sketch, c.SKETCH_SCHEMA), bits, at_least=2))
+    twice = spark.sparkContext.broadcast(c.merged_sketch(docs.mapInArrow(c.lean(sketch), c.SKETCH_SCHEMA), bits, at_least=2))
     shards = max(c.width(docs), math.ceil(letters / 6 / 2_000_000))
 
     def settle(one, two, doc, start):
@@ -159,9 +159,9 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
         cut = [*np.flatnonzero(np.diff(doc)) + 1]
         return pa.table({"doc_id": doc[[0, *cut]] if len(doc) else doc, "starts": pa.array([x.tobytes() for x in np.split(start, cut)] if len(doc) else [], pa.binary())})
 
-    found = docs.mapInArrow(suspects, "shard int, data binary")
-    known = found.groupBy("shard").applyInArrow(exact, "bucket int, data binary")
-    return known.groupBy("bucket").applyInArrow(by_doc, "doc_id long, starts binary")
+    found = docs.mapInArrow(c.lean(suspects), "shard int, data binary")
+    known = found.groupBy("shard").applyInArrow(c.lean_group(exact), "bucket int, data binary")
+    return known.groupBy("bucket").applyInArrow(c.lean_group(by_doc), "doc_id long, starts binary")
 
 
 def packed_windows(one: np.ndarray, two: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
@@ -219,7 +219,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     read = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return read.join(_flags(docs, window, id, text), "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    return read.join(_flags(docs, window, id, text), "doc_id", "left").mapInArrow(c.lean(cut), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def without_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
@@ -240,7 +240,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
                 columns[length] = pa.compute.if_else(pa.array([g[1] > 0 for g in got], pa.bool_()), new, columns[length])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array([not g[1] or g[1] < g[0] for g in got], pa.bool_()))
 
-    return docs.join(flags, F.col(id).cast("long") == F.col("__id"), "left").drop("__id").mapInArrow(cut, schema)
+    return docs.join(flags, F.col(id).cast("long") == F.col("__id"), "left").drop("__id").mapInArrow(c.lean(cut), schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:
