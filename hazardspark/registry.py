@@ -9,7 +9,7 @@ from hazardspark import rules
 from hazardspark.functions import text
 from hazardspark.operators import analytics as a
 from hazardspark.operators import scoring as s
-from hazardspark.plans import lifecycle, reports  # noqa: F401  (they register their queries)
+from hazardspark.plans import lifecycle, places, reports  # noqa: F401  (they register their queries)
 from hazardspark.plans.base import ORACLE, QUERIES, query  # noqa: F401
 
 _TYPES = ", ".join(f"count_if({{0}} = '{t}') AS {t.lower()}" for t in rules.EVENT_TYPES)
