@@ -12,7 +12,8 @@ distinct word n-grams. The product is never formed whole:
    the places of the gram leave room for enough overlap. What leaves a block is
    a spanning forest of these pairs, a row for each document at most. A gram
    that the sketch calls very frequent is joined batch by batch in the map
-   tasks, so no task gathers all its documents.
+   tasks, so no task gathers all its documents: a batch sends a head with the
+   range of sizes behind it, and heads meet where their ranges may link.
 3. The documents of a candidate component are cut by size and, where many, by
    hash into row blocks of about TILE; each pair of row blocks whose sizes may
    link is multiplied exactly, in strips of columns, and again a spanning
@@ -134,6 +135,16 @@ def candidate_pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, place:
     return nodes[child], nodes[parent[child]]
 
 
+def head_pairs(key: np.ndarray, node: np.ndarray, least: np.ndarray, most: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes that connect the heads of a key wherever sizes behind them, from least to most, may link."""
+    order = np.lexsort((least, key))
+    key, node, least, most = key[order], node[order], least[order].astype(np.int64), most[order].astype(np.int64)
+    number = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+    upto = np.maximum.accumulate((number << 32) + most) - (number << 32)  # within a key
+    near = np.flatnonzero((key[1:] == key[:-1]) & (percent * least[1:] <= 100 * upto[:-1]) & (node[1:] != node[:-1]))
+    return node[near], node[near + 1]
+
+
 def linked(grams: np.ndarray, at: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows, one of left and one of right, that link: a product of 0/1 matrices in strips of columns."""
     size = np.diff(at)
@@ -215,9 +226,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
                 continue
             key, node, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             hot = np.flatnonzero((key >> np.uint64(48)) >= HOT)
-            if len(hot):  # in this batch the documents of a very frequent gram hang on the first of them
-                order = hot[np.lexsort((node[hot], key[hot]))]
-                starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+            if len(hot):  # in this batch the documents of a very frequent gram hang on the smallest of them, anew where sizes leave a gap that no link crosses
+                order = hot[np.lexsort((node[hot], size[hot], key[hot]))]
+                sizes = size[order].astype(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (percent * sizes[1:] > 100 * sizes[:-1])]))
                 head = np.repeat(order[starts], np.diff([*starts, len(order)]))
                 local = np.unique(np.concatenate([node[order], node[head]]), return_inverse=True)
                 half = len(order)
@@ -227,7 +239,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
                 keep = np.ones(len(key), dtype=bool)
                 keep[order] = False
                 keep[order[starts]] = True
-                place[order[starts]] = 0
+                place[order[starts]] = size[order[np.append(starts[1:], len(order)) - 1]]  # a head stands for sizes from its own to this
                 key, node, size, place = key[keep], node[keep], size[keep], place[keep]
             block = (c.mix(key) % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
@@ -245,7 +257,10 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
             for x in data:
                 m = len(x) // 24
                 parts.append((np.frombuffer(x, np.uint64, m), np.frombuffer(x, np.int64, m, 8 * m), np.frombuffer(x, np.uint32, m, 16 * m), np.frombuffer(x, np.uint32, m, 20 * m)))
-            a, b = candidate_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)), percent)
+            rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            hot = rows[0] >> np.uint64(48) >= HOT
+            found = candidate_pairs(*(x[~hot] for x in rows), percent), head_pairs(*(x[hot] for x in rows), percent)
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"a": a, "b": b})
 
     part = docs.mapInArrow(c.lean(incidence), "block int, data binary")

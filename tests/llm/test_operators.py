@@ -63,6 +63,35 @@ def test_ngram_jaccard(spark, n, percent, tile, monkeypatch):
     assert got == {i: (len(s[i]), root(i)) for i in s}
 
 
+def test_very_frequent_grams_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "HOT", 2)
+    rnd = random.Random(5)
+    pool, batches, alone = [f"p{i}" for i in range(60)], [], []
+    for f in range(6):
+        own = [f"f{f}{x}" for x in "abc"]
+        short = own + rnd.sample(pool, 16)
+        batches.append([own + rnd.sample(pool, 37) for _ in range(5)] + [[*short, f"u{f}"]])
+        alone.append([*short, f"v{f}"])
+    texts = [" ".join(x) for batch in [*batches, alone] for x in batch]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 7), "doc_id long, text string")
+    s = [sets(t, 1) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(s)), 2) if 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b])]
+    root = c.forest(len(s), np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert len(pairs) >= 6
+    assert {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard(df, 1, 85).collect()} == dict(enumerate(root.tolist()))
+
+
+def test_heads_meet_where_ranges_may_link():
+    rnd = np.random.default_rng(4)
+    key, least = rnd.integers(0, 5, 40).astype(np.uint64), rnd.integers(1, 400, 40)
+    most = least + rnd.integers(0, 30, 40)
+    a, b = ngram_jaccard.head_pairs(key, np.arange(40), least.astype(np.uint32), most.astype(np.uint32), 85)
+    root = c.forest(40, a, b)
+    for x, y in itertools.combinations(range(40), 2):
+        if key[x] == key[y] and 85 * least[x] <= 100 * most[y] and 85 * least[y] <= 100 * most[x]:
+            assert root[x] == root[y]
+
+
 def test_candidates_lose_no_link():
     rnd = np.random.default_rng(3)
     g = [np.unique(np.concatenate([np.arange(40), rnd.integers(0, 400, rnd.integers(0, 12))])).astype(np.uint64) for _ in range(30)]
