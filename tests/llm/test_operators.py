@@ -1,5 +1,6 @@
 """Brute force, round trips and odd inputs for the numbered operators."""
 
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -184,6 +185,21 @@ def test_context_mixing(spark):
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and got[i].score < 0
 
 
+def test_context_mixing_learns_from_whole_texts(spark):
+    long = ["a" * 2000 + "zebra quagga " * k for k in range(1, 160)]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(3)
+    raw = [x.encode() for x in long]
+    count = np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint8), minlength=257)
+    count[256] = len(raw)
+    model, t = context_mixing.fit(df, len(raw)), context_mixing.tree(count)
+    assert np.array_equal(model.tree.first, t.first) and np.array_equal(model.tree.node, t.node)
+    plain = dataclasses.replace(model, weights=np.full_like(model.weights, 1.2 / len(context_mixing.ORDERS)))
+    for _ in range(context_mixing.PASSES):
+        plain.weights = plain.ends(raw).mean(axis=0)
+    assert np.allclose(model.weights, plain.weights, atol=1e-4)
+    assert context_mixing.share(100) == 1 and context_mixing.share(10**9) * 10**9 > 10**7
+
+
 def test_packing(spark):
     df, by_id = docs(spark)
     got = packing.pack_documents(df, size=64).collect()
