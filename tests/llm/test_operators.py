@@ -191,7 +191,7 @@ def test_context_mixing_learns_from_whole_texts(spark):
     raw = [x.encode() for x in long]
     count = np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint8), minlength=257)
     count[256] = len(raw)
-    model, t = context_mixing.fit(df, len(raw)), context_mixing.tree(count)
+    model, t = context_mixing.fit(df, len(raw))[0], context_mixing.tree(count)
     assert np.array_equal(model.tree.first, t.first) and np.array_equal(model.tree.node, t.node)
     plain = dataclasses.replace(model, weights=np.full_like(model.weights, 1.2 / len(context_mixing.ORDERS)))
     for _ in range(context_mixing.PASSES):
@@ -200,6 +200,29 @@ def test_context_mixing_learns_from_whole_texts(spark):
     assert context_mixing.share(100) == 1 and context_mixing.share(10**9) * 10**9 > 10**7
 
 
+def test_context_odds_are_exact_and_cold_ones_are_joined(spark, monkeypatch):
+    df, by_id = docs(spark)
+    learn = df.where("doc_id % 2 = 0").select("doc_id", "text")
+    model, table, _ = context_mixing.fit(learn, learn.count())
+    raw, t = [(t or "").encode() for i, t in by_id.items() if i % 2 == 0], model.tree
+    seen = Counter()
+    for x in raw:
+        for p, s in enumerate([*x, 256]):
+            before = [b + 1 for b in x[max(0, p - 5) : p]][::-1] + [0] * 5
+            for k, order in enumerate(context_mixing.ORDERS):
+                for w in range(t.first[s], t.first[s + 1]):
+                    seen[k, tuple(before[:order]), int(t.node[w]), int(t.bit[w])] += 1
+    want = {}
+    for k, before, node, _ in seen:
+        at = ((k << 45 | sum(b << 9 * j for j, b in enumerate(before))) << 8) | node
+        want[at] = math.log((seen[k, before, node, 1] + 0.4) / (seen[k, before, node, 0] + 0.4))
+    assert dict(zip(model.node.tolist(), model.odds.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
+    hot = {r.doc_id: r.score for r in context_mixing.score(df, F.col("doc_id") % 2 == 0).collect()}
+    monkeypatch.setattr(context_mixing, "HOT_NODES", 300)
+    cold = {r.doc_id: r.score for r in context_mixing.score(df, F.col("doc_id") % 2 == 0).collect()}
+    assert cold == pytest.approx(hot, rel=1e-4)
+
+
 def test_packing(spark):
     df, by_id = docs(spark)
     got = packing.pack_documents(df, size=64).collect()
