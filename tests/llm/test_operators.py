@@ -191,7 +191,8 @@ def test_context_mixing_learns_from_whole_texts(spark):
     raw = [x.encode() for x in long]
     count = np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint8), minlength=257)
     count[256] = len(raw)
-    model, t = context_mixing.fit(df, len(raw))[0], context_mixing.tree(count)
+    held, weights, *_ = context_mixing.fit(df, len(raw))
+    model, t = dataclasses.replace(held.value, weights=weights), context_mixing.tree(count)
     assert np.array_equal(model.tree.first, t.first) and np.array_equal(model.tree.node, t.node)
     plain = dataclasses.replace(model, weights=np.full_like(model.weights, 1.2 / len(context_mixing.ORDERS)))
     for _ in range(context_mixing.PASSES):
@@ -203,7 +204,7 @@ def test_context_mixing_learns_from_whole_texts(spark):
 def test_context_odds_are_exact_and_cold_ones_are_joined(spark, monkeypatch):
     df, by_id = docs(spark)
     learn = df.where("doc_id % 2 = 0").select("doc_id", "text")
-    model, table, _ = context_mixing.fit(learn, learn.count())
+    model = context_mixing.fit(learn, learn.count())[0].value
     raw, t = [(t or "").encode() for i, t in by_id.items() if i % 2 == 0], model.tree
     seen = Counter()
     for x in raw:
