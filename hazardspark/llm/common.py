@@ -28,10 +28,13 @@ LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode, as in tests, one of our own where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
 
