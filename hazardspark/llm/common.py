@@ -124,7 +124,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         up[1:], down = base, np.full(m, np.uint64(inverse))
         down[0] = 1
         got = _powers[int(base)] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if m > 8 * CHUNK_BYTES:  # a single huge text: don't keep its tables
+        if m > 5 * CHUNK_BYTES // 2:  # a single huge text: don't keep its tables
             _powers.pop(int(base))
     return got
 
@@ -176,6 +176,12 @@ def grams(words: np.ndarray, n: int, base: np.uint64 = _BASE2) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * down[: len(words) - n + 1] + np.uint64(n))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of so many rows, so that few texts are held as Python objects at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def binary(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -215,8 +221,8 @@ def sketch_rows(cells: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(c, pa.binary()), pa.array(n, pa.binary())], names=["slice", "cells", "counts"])
 
 
-def merged_sketch(partial: DataFrame, bits: int, at_least: int | None = None) -> np.ndarray:
-    """Sum the partition sketches slice by slice; at_least: one bit a cell, set if its count reaches that, else uint16 counts.
+def merged_sketch(partial: DataFrame, bits: int, at_least: int | None = None, scale: int = 0) -> np.ndarray:
+    """Sum the partition sketches slice by slice; at_least: one bit a cell, set if its count reaches that, else uint16 counts, halved scale times.
 
     The result has 2**bits cells whatever the input, so what reaches the driver is bounded by bits.
     """
@@ -226,12 +232,12 @@ def merged_sketch(partial: DataFrame, bits: int, at_least: int | None = None) ->
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, cells, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = total.setdefault(s, np.zeros(size, dtype=np.uint16))
+                own = total.setdefault(s, np.zeros(size, dtype=np.uint32))
                 at = decode_gaps(cells)
                 more = np.frombuffer(counts, dtype=np.uint8) if counts else np.ones(1, dtype=np.uint8)
-                own[at] = np.minimum(own[at].astype(np.uint32) + more, 65535)
+                own[at] = np.minimum(own[at].astype(np.int64) + more, 2**32 - 1)
         for s, own in total.items():
-            data = np.packbits(own >= at_least, bitorder="little") if bitmap else own
+            data = np.packbits(own >= at_least, bitorder="little") if bitmap else np.minimum(own >> np.uint32(scale), 65535).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["slice", "data"])
 
     out = np.zeros((1 << bits) // 8 if bitmap else 1 << bits, dtype=np.uint8 if bitmap else np.uint16)
@@ -291,18 +297,18 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable over edges; only nodes with an edge come out.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014): each
     is a minimum per node, combined on the map side, and an equi-join that AQE
     may split, so a node with very many edges isn't gathered anywhere. Each
-    round is checkpointed in the shared folder.
+    round is checkpointed in the shared folder; rounds end when nothing changes.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = checkpointed(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u go to the smallest in u's neighbourhood

@@ -3,8 +3,9 @@
 Unit vectors with cosine >= c are at most sqrt(2 - 2c) apart. After a fixed
 rotation the dimensions are cut into BLOCKS; of a close pair one block at least has its
 proportional part of the squared distance or less. So each block is range-joined
-under that budget: by slabs of its first coordinate as wide as the radius,
-neighbouring slabs together, large slabs in row blocks. What the range join of a
+under that budget: by cells of its first three coordinates, as wide as the radius. Of the first, neighbouring
+slabs meet; of the others a row is in its own cell and in the next, and a pair counts in the first cell that both share.
+Large cells are cut into row blocks. What the range join of a
 block finds is verified by the cosine in double precision, and counted in the
 first block that finds it. A task returns link counts and a spanning forest of
 its links, so a large group of near copies writes a row for each vector, not for each pair.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
 
-BLOCKS = 8
+BLOCKS = 4
+COORDINATES = 3
 TILE = 1024
 PAIRS = 1 << 16
 
@@ -28,6 +30,11 @@ def rotation(dim: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(12345 + dim).normal(size=(dim, dim)))[0]
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact, so that squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
+
+
 def units(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
@@ -46,8 +53,8 @@ def budgets(dim: int, cosine: float) -> np.ndarray:
     return (2 - 2 * cosine) * np.diff(edges_of(dim)) / dim * (1 + 1e-6) + 1e-12
 
 
-def links(left: np.ndarray, right: np.ndarray, lid: np.ndarray, rid: np.ndarray, same: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that link and are found in this block first. same: right rows of the left rows' own slab."""
+def links(left: np.ndarray, right: np.ndarray, lid: np.ndarray, rid: np.ndarray, same: np.ndarray, late: np.ndarray, rlate: np.ndarray, block: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that link and are found in this block first. same: right rows of the left rows' own slab; late, rlate: in which coordinates a row is not in its own cell."""
     dim = left.shape[1]
     cut, budget = edges_of(dim), budgets(dim, cosine)
     rl, rr = rotated(left), rotated(right)
@@ -55,7 +62,7 @@ def links(left: np.ndarray, right: np.ndarray, lid: np.ndarray, rid: np.ndarray,
     own = slice(cut[block], cut[block + 1])
     a, b = rl[:, own], rr[:, own]
     near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T <= budget[block] + 1e-9
-    near &= ~(same[None, :] & (lid[:, None] >= rid[None, :]))
+    near &= ~(same[None, :] & (lid[:, None] >= rid[None, :])) & (late[:, None] & rlate[None, :] == 0)
     x, y = np.nonzero(near)
     keep = np.zeros(len(x), dtype=bool)
     for lo in range(0, len(x), PAIRS):
@@ -73,8 +80,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
     Rows are compared within a label only. Null labels and vectors that are null,
     empty, zero or hold null or non-finite components link with nothing; vectors
     of different lengths don't either. Equal vectors are one in the join and are
-    counted as links of each other. Rows without an id take no part; an id should not repeat: links are
-    counted between different ids.
+    counted as links of each other. Rows without an id take no part. A row that repeats an id gives a row of its own:
+    links are counted between different ids that hold equal vectors, and between vectors otherwise.
     """
     rows = vectors.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -86,23 +93,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
             for batch in batches:
                 for tab in by_length(pa.Table.from_batches([batch])):
                     v = matrix(tab.column("v"))
-                    dim = v.shape[1]
+                    dim, n = v.shape[1], len(v)
                     r, width = rotated(v), np.sqrt(budgets(dim, cosine))
                     for k in range(len(width)):
-                        slab = np.floor(r[:, edges_of(dim)[k]] / width[k]).astype(np.int32)
-                        n = len(slab)
-                        cols = [tab.column("label").combine_chunks(), pa.array([dim] * n, pa.int32()), pa.array([k] * n, pa.int32()), pa.array(slab), tab.column("rep").combine_chunks()]
-                        if with_vector:
-                            cols += [tab.column("n").combine_chunks(), tab.column("v").combine_chunks()]
-                        yield pa.RecordBatch.from_arrays(cols, names=["label", "dim", "block", "slab", "rep", "n", "v"][: len(cols)])
+                        first, last = edges_of(dim)[k : k + 2]
+                        cell = np.floor(r[:, first : min(last, first + COORDINATES)] / width[k]).astype(np.int32)
+                        for late in range(1 << (cell.shape[1] - 1)):
+                            more = [cell[:, j] + (late >> (j - 1) & 1) if j < cell.shape[1] else np.zeros(n, np.int32) for j in range(1, COORDINATES)]
+                            cols = [tab.column("label").combine_chunks(), pa.array([dim] * n, pa.int32()), pa.array([k] * n, pa.int32()), *(pa.array(x, pa.int32()) for x in more), pa.array(cell[:, 0]), tab.column("rep").combine_chunks()]
+                            if with_vector:
+                                cols += [pa.array([late] * n, pa.int32()), tab.column("n").combine_chunks(), tab.column("v").combine_chunks()]
+                            yield pa.RecordBatch.from_arrays(cols, names=["label", "dim", "block", "c1", "c2", "slab", "rep", "late", "n", "v"][: len(cols)])
 
         return run
 
     kind, item = reps.schema["label"].dataType.simpleString(), reps.schema["v"].dataType.simpleString()
-    keys = f"label {kind}, dim int, block int, slab int, rep long"
+    keys = f"label {kind}, dim int, block int, c1 int, c2 int, slab int, rep long"
     light = reps.mapInArrow(c.lean(slabs(False)), keys)
-    placed = c.row_blocks(reps.mapInArrow(c.lean(slabs(True)), f"{keys}, n long, v {item}"), ["label", "dim", "block"], "slab", "rep", TILE, light)
-    home = F.struct("label", "dim", "block", "slab", "x", "y")
+    placed = c.row_blocks(reps.mapInArrow(c.lean(slabs(True)), f"{keys}, late int, n long, v {item}"), ["label", "dim", "block", "c1", "c2"], "slab", "rep", TILE, light)
+    home = F.struct("label", "dim", "block", "c1", "c2", "slab", "x", "y")
 
     def join(tab: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64),) * 3]
@@ -116,7 +125,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
                 left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
                 if not len(left) or not len(right):
                     continue
-                x, y = links(v[left], v[right], ids[left], ids[right], ~up[right], t.column("block")[0].as_py(), cosine)
+                late = t.column("late").to_numpy()
+                x, y = links(v[left], v[right], ids[left], ids[right], ~up[right], late[left], late[right], t.column("block")[0].as_py(), cosine)
                 if len(x):
                     nodes, local = np.unique(np.concatenate([ids[left][x], ids[right][y]]), return_inverse=True)
                     a, b = local[: len(x)], local[len(x) :]
@@ -140,7 +150,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     a = column.combine_chunks()
-    return a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1)
+    return scaled(a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1))
 
 
 def by_length(tab: pa.Table):
@@ -152,7 +162,7 @@ def by_length(tab: pa.Table):
 def split_rows(tab: pa.Table):
     """The groups of a hash value: one, but for a collision."""
     keys: dict[tuple, list[int]] = {}
-    for i, key in enumerate(zip(*(tab.column(k).to_pylist() for k in ("label", "dim", "block", "slab", "x", "y")), strict=True)):
+    for i, key in enumerate(zip(*(tab.column(k).to_pylist() for k in ("label", "dim", "block", "c1", "c2", "slab", "x", "y")), strict=True)):
         keys.setdefault(key, []).append(i)
     for rows in keys.values():
         yield tab if len(rows) == len(tab) else tab.take(pa.array(rows))

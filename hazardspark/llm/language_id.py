@@ -7,9 +7,9 @@ is paid and the next shorter context is asked, down to a flat guess. The text
 goes to the language with the shortest code. ASCII letters are lower-cased, and
 bytes beyond the commonest of the training text share one symbol.
 
-As the trees are frozen, a cost depends on the last ORDER + 1 bytes only:
-seen sequences are one gather from a table, the rest are added up from the
-tables of escapes and shorter contexts.
+As the trees are frozen, a cost depends on the last ORDER + 1 bytes only: one gather
+from a table of the costs of every symbol in every context that was seen, or from
+the costs of shorter contexts where it was not.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ ORDER = 3
 SYMBOLS = 64
 BITS = 6
 PER_LANGUAGE = 2000
-PER_TEXT = 4000
 
 
 def symbols_of(texts: list[bytes]) -> np.ndarray:
@@ -61,35 +60,30 @@ class Model:
         """trees[l][k]: distinct codes of k + 1 symbols and their counts."""
         self.table, self.langs = table, langs
         n = len(langs)
-        cost = np.full((SYMBOLS, n), np.log2(SYMBOLS))  # below order 0
-        self.low, self.escape = None, None
-        top = np.unique(np.concatenate([t[ORDER][0] for t in trees])) if n else np.empty(0, dtype=np.int64)
-        for k in range(ORDER + 1):
-            size = SYMBOLS ** (k + 1)
-            codes = top if k == ORDER else np.arange(size)
-            shorter = cost[codes % max(SYMBOLS**k, 1)] if k else cost[codes]
-            out = np.empty((len(codes), n))
-            escape = np.zeros((SYMBOLS**k, n))
-            for lang, tree in enumerate(trees):
-                code, count = tree[k]
-                context = code // SYMBOLS
-                total = np.bincount(context, weights=count, minlength=SYMBOLS**k)
-                kinds = np.bincount(context, minlength=SYMBOLS**k)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    escape[:, lang] = np.where(kinds > 0, -np.log2(kinds / (total + kinds)), 0)
-                own = np.zeros(len(codes))
-                own[np.searchsorted(codes, code)] = count
-                ctx = codes // SYMBOLS
-                with np.errstate(divide="ignore"):
-                    out[:, lang] = np.where(own > 0, -np.log2(own / np.maximum(total + kinds, 1)[ctx]), escape[ctx, lang] + shorter[:, lang])
-            if k == ORDER:
-                self.seen = out.astype(np.float32)
-                self.escape = escape.astype(np.float32)
-                self.where = np.full(size, -1, dtype=np.int32)
-                self.where[top] = np.arange(len(top))
-            else:
-                cost = out
-        self.low = cost.astype(np.float32)
+        cost = np.full((SYMBOLS, n), np.log2(SYMBOLS), dtype=np.float32)  # below order 0
+        for k in range(ORDER):
+            cost = self._longer(cost, trees, k, np.arange(SYMBOLS**k))
+        top = np.unique(np.concatenate([t[ORDER][0] // SYMBOLS for t in trees])) if n else np.empty(0, dtype=np.int64)
+        self.low, self.seen = cost, self._longer(cost, trees, ORDER, top)
+        self.row = np.full(SYMBOLS**ORDER, -1, dtype=np.int32)
+        self.row[top] = np.arange(len(top))
+
+    def _longer(self, shorter: np.ndarray, trees: list, k: int, contexts: np.ndarray) -> np.ndarray:
+        """Costs of every symbol after these contexts of k symbols, given those after contexts one symbol shorter."""
+        out = np.empty((len(contexts) * SYMBOLS, len(trees)), dtype=np.float32)
+        code = (contexts[:, None] * SYMBOLS + np.arange(SYMBOLS)[None, :]).ravel()
+        base = shorter[code % SYMBOLS**k] if k else shorter[code]
+        for lang, tree in enumerate(trees):
+            own, count = tree[k]
+            at = np.searchsorted(contexts, own // SYMBOLS)
+            total = np.bincount(at, weights=count, minlength=len(contexts))
+            kinds = np.bincount(at, minlength=len(contexts))
+            escape = np.zeros(len(contexts))
+            met = kinds > 0
+            escape[met] = -np.log2(kinds[met] / (total + kinds)[met])
+            out[:, lang] = np.repeat(escape, SYMBOLS) + base[:, lang]
+            out[at * SYMBOLS + own % SYMBOLS, lang] = -np.log2(count / (total + kinds)[at])
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text under each language."""
@@ -97,10 +91,11 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)))
         if not len(code) or not self.langs:
             return out
-        row = self.where[code]
-        cost = self.seen[row]
+        code = code.astype(np.int64)
+        row = self.row[code // SYMBOLS].astype(np.int64)
+        cost = self.seen[row * SYMBOLS + code % SYMBOLS] if len(self.seen) else np.empty((len(code), len(self.langs)), dtype=np.float32)
         new = np.flatnonzero(row < 0)
-        cost[new] = self.escape[code[new] // SYMBOLS] + self.low[code[new] % SYMBOLS**ORDER]
+        cost[new] = self.low[code[new] % SYMBOLS**ORDER]
         full = np.flatnonzero(np.diff(at))
         out[full] = np.add.reduceat(cost, at[full], axis=0, dtype=np.float64)
         return out
@@ -110,20 +105,19 @@ def has_letter(t: bytes) -> bool:
     return any(65 <= b <= 90 or 97 <= b <= 122 for b in t[:64]) or any(x.isalpha() for x in t.decode("utf-8", "replace"))
 
 
-_models: dict[int, Model] = {}
-
-
 class LanguageId:
-    """Fit once on the driver from a bounded sample, applied in map tasks; what is broadcast are the counts."""
+    """Fit once from a bounded sample, applied in map tasks; what is broadcast are the counts. A worker makes the tables from them once and drops them with the broadcast."""
+
+    def __init__(self, table: np.ndarray, langs: list[str], trees: list):
+        self.table, self.langs, self.trees, self._model = table, langs, trees, None
 
-    def __init__(self, key: int, table: np.ndarray, langs: list[str], trees: list):
-        self.key, self.table, self.langs, self.trees = key, table, langs, trees
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_model": None}
 
     def model(self) -> Model:
-        if self.key not in _models:
-            _models.clear()
-            _models[self.key] = Model(self.table, self.langs, self.trees)
-        return _models[self.key]
+        if self._model is None:
+            self._model = Model(self.table, self.langs, self.trees)
+        return self._model
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Language and its share of probability, all languages equally likely beforehand."""
@@ -137,33 +131,34 @@ class LanguageId:
         return [self.langs[i] if k else "und" for i, k in zip(best, known, strict=True)], [float(s) if k else 0.0 for s, k in zip(score, known, strict=True)]
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = PER_TEXT, lang: str = "lang", text: str = "text", id: str = "doc_id") -> LanguageId:
-    """Count the trees on at most per_language texts a language, by a hash of the id, of each its first per_text characters.
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, lang: str = "lang", text: str = "text", id: str = "doc_id") -> LanguageId:
+    """Count the trees on whole texts of at most per_language ids a language, by a hash of the id.
 
-    The two bounds hold for fitting only; prediction reads whole texts.
+    The bound holds for fitting only. Rows without a language, text or id are not learnt from. Only counts reach the driver.
     """
     from pyspark.sql import Window
 
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(11)).alias("h"), F.col(id).alias("id"))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull()).select(F.col(lang).alias("lang"), F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(id), F.lit(11)).alias("h"))
     total = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    # a share of each language first, so that the window sorts a bounded number of rows
+    # a share of each language first, so that the window sorts a bounded number of ids
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 2 * per_language / n))) for k, n in total.items()], F.lit(1.0)) if total else F.lit(1.0)
-    source = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(F.col(id), F.lit(11)).alias("h"), F.substring(F.col(text), 1, per_text).alias("text"))
-    source = source.where((F.pmod("h", F.lit(1_000_003)) / 1_000_003) < share)
-    source = source.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language).select("lang", "text").orderBy("lang", "rank")
+    some = rows.select("lang", "id", "h").where((F.pmod("h", F.lit(1_000_003)) / 1_000_003) < share).distinct()
+    chosen = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= per_language).select("lang", "id")
+    chosen = c.checkpointed(chosen)
+    source = rows.select("lang", "id", "text").join(F.broadcast(chosen), ["lang", "id"]).select("lang", "text")
     langs = sorted(total)
-    common = np.zeros(256, dtype=np.uint32)
 
     def byte_counts(batches):
         n = np.zeros(256, dtype=np.int64)
         for b in batches:
-            n += np.bincount(np.frombuffer(b"".join(c.binary(b.column("text"))), dtype=np.uint8), minlength=256)
+            for part in c.slices(b):
+                n += np.bincount(np.frombuffer(b"".join(c.binary(part.column("text"))), dtype=np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(n)], names=["b", "n"])
 
-    source = c.checkpointed(source)
     count = np.zeros(256, dtype=np.int64)
-    for b, n in source.mapInArrow(c.lean(byte_counts), "b int, n long").groupBy("b").agg(F.sum("n")).collect():
+    for b, n in source.select("text").mapInArrow(c.lean(byte_counts), "b int, n long").groupBy("b").agg(F.sum("n")).collect():
         count[c.LOWER[b]] += n
+    common = np.zeros(256, dtype=np.uint32)
     best = np.lexsort((np.arange(256), -count))[: SYMBOLS - 1]
     best = best[count[best] > 0]
     common[best] = np.arange(1, len(best) + 1)
@@ -173,21 +168,23 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, per_text: int = P
         for b in batches:
             l, t = np.array(b.column("lang").to_pylist(), dtype=object), c.binary(b.column("text"))
             for name in sorted(set(l)):
-                code, _ = coded([t[i] for i in np.flatnonzero(l == name)], table)
-                codes, n = np.unique(code.astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+                own = [t[i] for i in np.flatnonzero(l == name)]
+                for lo, hi in c.pieces(own, 1 << 21):
+                    codes, n = np.unique(coded(own[lo:hi], table)[0].astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes)), pa.array(codes), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
-    grown = source.mapInArrow(c.lean(tree), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).orderBy("lang", "code").toPandas()
+    grown = source.mapInArrow(c.lean(tree), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    of, codes, many = np.array(grown.column("lang").to_pylist(), dtype=object), grown.column("code").to_numpy(), grown.column("n").to_numpy().astype(np.float64)
     trees = []
     for name in langs:
-        own = grown[grown.lang == name]
-        code, n = own.code.to_numpy(dtype=np.int64), own.n.to_numpy(dtype=np.float64)
+        own = np.flatnonzero(of == name)
+        code, n = codes[own], many[own]
         levels = []
         for k in range(ORDER + 1):  # counts of shorter contexts are sums over the longer ones
             low, back = np.unique(code % SYMBOLS ** (k + 1), return_inverse=True)
             levels.append((low, np.bincount(back, weights=n, minlength=len(low)) if len(low) else n))
         trees.append(levels)
-    return LanguageId(hash((tuple(langs), table.tobytes(), len(grown), int(grown.n.sum()) if len(grown) else 0)), table, langs, trees)
+    return LanguageId(table, langs, trees)
 
 
 def identify(docs: DataFrame, model: LanguageId, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -201,27 +198,30 @@ def identify(docs: DataFrame, model: LanguageId, id: str = "doc_id", text: str =
 
     def rows(batches):
         for batch in batches:
-            texts = c.binary(batch.column(1))
-            lang, score = [], []
-            for lo, hi in c.pieces(texts):
-                a, b = held.value.predict(texts[lo:hi])
-                lang += a
-                score += b
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            for part in c.slices(batch):
+                lang, score = predicted(held.value, c.binary(part.column(1)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(c.lean(rows), "doc_id long, lang_pred string, score double")
 
 
+def predicted(model: LanguageId, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
+    lang, score = [], []
+    for lo, hi in c.pieces(texts):
+        a, b = model.predict(texts[lo:hi])
+        lang += a
+        score += b
+    return lang, score
+
+
 def identified(docs: DataFrame, model: LanguageId, at_least: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs whose language is known: not und, and with a score of at_least."""
+    """The rows of docs whose language is known: not und, and with a score of at_least. Null and empty texts go; all columns stay."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         for batch in batches:
-            texts = c.binary(batch.column(text))
-            keep: list[bool] = []
-            for lo, hi in c.pieces(texts):
-                keep += [x != "und" and s >= at_least for x, s in zip(*held.value.predict(texts[lo:hi]), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in c.slices(batch):
+                keep = [x != "und" and s >= at_least for x, s in zip(*predicted(held.value, c.binary(part.column(text))), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(c.lean(rows), docs.schema)

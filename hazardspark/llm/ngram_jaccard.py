@@ -3,7 +3,7 @@
 Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of
 distinct word n-grams. The product is never formed whole:
 
-1. A fixed-size sketch of document frequencies orders all n-grams, rare first.
+1. A sketch of document frequencies, of at most 2**MOST_BITS cells, orders all n-grams, rare first.
    With s grams in a set, a linked pair shares one of the first
    s - ceil(percent / 100 * s) + 1 of either; only this part of the incidence
    matrix is dealt out, in column blocks. The sketch orders, so its errors
@@ -11,7 +11,7 @@ distinct word n-grams. The product is never formed whole:
 2. In a column block, pairs that share a gram are kept only if their sizes and
    the places of the gram leave room for enough overlap. What leaves a block is
    a spanning forest of these pairs, a row for each document at most. A gram
-   that the sketch calls very frequent is joined batch by batch in the map
+   that the sketch calls very frequent (HOT documents beyond eight times the mean of a cell) is joined batch by batch in the map
    tasks, so no task gathers all its documents: a batch sends a head with the
    range of sizes behind it, and heads meet where their ranges may link.
 3. The documents of a candidate component are cut by size and, where many, by
@@ -37,6 +37,7 @@ from hazardspark.llm import common as c
 
 TILE = 512
 HOT = 4096
+MOST_BITS = 24
 STRIP = 2048
 _COPY = np.uint64(0x94D049BB133111EB)
 
@@ -85,11 +86,12 @@ def bounds(percent: int) -> tuple:
 
 
 def _each(batches, text: str = "text"):
-    for batch in batches:
-        texts = c.binary(batch.column(batch.schema.get_field_index(text)))
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-        for lo, hi in c.pieces(texts):
-            yield ids[lo:hi], texts[lo:hi]
+    for whole in batches:
+        for batch in c.slices(whole):
+            texts = c.binary(batch.column(batch.schema.get_field_index(text)))
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            for lo, hi in c.pieces(texts):
+                yield ids[lo:hi], texts[lo:hi]
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -190,8 +192,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
     prefix, _ = bounds(percent)
     docs = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows, letters = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = c.bits_for(letters // 6, 8, 24)
+    bits = c.bits_for(letters // 6, 8, MOST_BITS)
     shift = np.uint64(64 - bits)
+    load = letters / 6 / (1 << bits)  # grams a cell: past 2**MOST_BITS cells it grows, and what is very frequent with it
+    scale = max(0, math.ceil(math.log2(max(load, 1) / 512)))
+    hot_at = min(65535, math.ceil((HOT + 8 * load) / (1 << scale)))
 
     def sketch(batches):
         cells = [np.empty(0, dtype=np.uint64)]
@@ -203,7 +208,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
         if cells:
             yield c.sketch_rows(np.concatenate(cells).astype(np.int64))
 
-    frequency = spark.sparkContext.broadcast(c.merged_sketch(docs.mapInArrow(c.lean(sketch), c.SKETCH_SCHEMA), bits))
+    frequency = spark.sparkContext.broadcast(c.merged_sketch(docs.mapInArrow(c.lean(sketch), c.SKETCH_SCHEMA), bits, scale=scale))
     blocks = max(c.width(docs), math.ceil(letters / 6 * (100 - percent) / 100 / 1_000_000))
 
     def incidence(batches):
@@ -225,7 +230,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
             if not parts:
                 continue
             key, node, size, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            hot = np.flatnonzero((key >> np.uint64(48)) >= HOT)
+            hot = np.flatnonzero((key >> np.uint64(48)) >= hot_at)
             if len(hot):  # in this batch the documents of a very frequent gram hang on the smallest of them, anew where sizes leave a gap that no link crosses
                 order = hot[np.lexsort((node[hot], size[hot], key[hot]))]
                 sizes = size[order].astype(np.int64)
@@ -258,7 +263,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
                 m = len(x) // 24
                 parts.append((np.frombuffer(x, np.uint64, m), np.frombuffer(x, np.int64, m, 8 * m), np.frombuffer(x, np.uint32, m, 16 * m), np.frombuffer(x, np.uint32, m, 20 * m)))
             rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            hot = rows[0] >> np.uint64(48) >= HOT
+            hot = rows[0] >> np.uint64(48) >= hot_at
             found = candidate_pairs(*(x[~hot] for x in rows), percent), head_pairs(*(x[hot] for x in rows), percent)
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"a": a, "b": b})

@@ -227,12 +227,13 @@ def without_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
 
     A column of lengths, where there is one, is set anew for texts that changed.
     """
-    flags = _flags(docs, window, id, text).select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"))
     schema = docs.schema
+    own, marks = (next(x for x in (f"{name}_{k}" for k in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("of", "starts"))  # names of no column of docs
+    flags = _flags(docs, window, id, text).select(F.col("doc_id").alias(own), F.col("starts").alias(marks))
 
     def cut(batches):
         for batch in batches:
-            got = [_cut(t, m, window) for t, m in zip(c.binary(batch.column(text)), batch.column("__starts").to_pylist(), strict=True)]
+            got = [_cut(t, m, window) for t, m in zip(c.binary(batch.column(text)), batch.column(marks).to_pylist(), strict=True)]
             kept = pa.array([g[2] for g in got], pa.binary()).cast(pa.string())
             columns = {f.name: batch.column(f.name) for f in schema} | {text: kept}
             if length in columns:
@@ -240,7 +241,7 @@ def without_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
                 columns[length] = pa.compute.if_else(pa.array([g[1] > 0 for g in got], pa.bool_()), new, columns[length])
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)).filter(pa.array([not g[1] or g[1] < g[0] for g in got], pa.bool_()))
 
-    return docs.join(flags, F.col(id).cast("long") == F.col("__id"), "left").drop("__id").mapInArrow(c.lean(cut), schema)
+    return docs.join(flags, F.col(id).cast("long") == F.col(own), "left").drop(own).mapInArrow(c.lean(cut), schema)
 
 
 def digest(kept: DataFrame) -> DataFrame:

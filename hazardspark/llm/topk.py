@@ -9,6 +9,8 @@ query is above the upper bounds of all but a few rows, reading stops and the
 scores of these few are made final. Bounds of a block of queries and a
 block of rows are matrix products, so many queries share one reading.
 
+Rows with a component beyond PLAIN, whose sums floats can't hold exactly, meet all others in whole numbers of Python.
+
 The queries are a stated set that grows with the table: they are cut into blocks too, and each
 pair of blocks is a row of an equi-join on the number of the query block.
 """
@@ -16,6 +18,7 @@ pair of blocks is a row of an equi-join on the number of the query block.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,15 @@ from pyspark.sql import functions as F
 ROWS = 16384
 QUERIES = 1024
 STOPS = (0.25, 0.5, 0.75, 1.0)
+PLAIN = 1 << 20
 
 
 def nra(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) indexes of each query's k best rows of this block, ties to the smaller id; rows of the query's own id are none."""
     m, d = x.shape
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * d
-    kind = np.float32 if most < 2**24 else np.float64  # sums of whole numbers below these are exact
-    if most >= 2**53:
+    kind = np.float32 if most < 2**24 else np.float64  # sums of whole numbers below these are exact: PLAIN**2 * d is, up to 4,096 dimensions
+    if not m or most >= 2**53:
         return exact(q, qid, x, xid, k, np.arange(len(q)), None)
     q, x = q.astype(kind), x.astype(kind)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
@@ -70,19 +74,42 @@ def exact(q, qid, x, xid, k, which, maybe):
     if maybe is None:
         maybe = qid[which][:, None] != xid[None, :]
     a, b = np.nonzero(maybe)
-    if q.dtype == object or max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * x.shape[1] >= 2**53:
-        score = np.array([sum(int(u) * int(v) for u, v in zip(q[which[i]], x[j], strict=True)) for i, j in zip(a, b, strict=True)], dtype=object)
-        score = np.array([max(min(s, 2**63 - 1), -(2**63)) for s in score], dtype=np.int64)
+    if q.dtype == object or x.dtype == object or max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * x.shape[1] >= 2**53:
+        score = np.array([sum(int(u) * int(v) for u, v in zip(q[which[i]].tolist(), x[j].tolist(), strict=True)) for i, j in zip(a, b, strict=True)], dtype=object)
     else:
         score = np.empty(len(a), dtype=np.int64)
         for lo in range(0, len(a), 1 << 16):
             s = slice(lo, lo + (1 << 16))
             score[s] = np.einsum("ij,ij->i", q[which[a[s]]].astype(np.float64), x[b[s]].astype(np.float64)).astype(np.int64)
-    order = np.lexsort((xid[b], -score, a))
+    order = np.array(sorted(range(len(a)), key=lambda i: (a[i], -score[i], xid[b[i]])), dtype=np.int64) if score.dtype == object else np.lexsort((xid[b], -score, a))
     a, b, score = a[order], b[order], score[order]
     place = np.arange(len(a)) - np.searchsorted(a, a)
     keep = place < k
-    return which[a[keep]], b[keep], score[keep]
+    return which[a[keep]], b[keep], np.array([max(min(s, 2**63 - 1), -(2**63)) for s in score[keep].tolist()], dtype=np.int64)
+
+
+def large(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if data[:1] == b"4" else np.float64, offset=1).astype(np.float64).reshape(-1, dim)
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as whole numbers of Python, whatever their size."""
+    return np.array([[math.floor(Fraction(v) * scale) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
+def both_ways(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, scale: int):
+    """nra() of the rows within PLAIN, and exact() where either side is beyond; of raw vectors."""
+    with np.errstate(over="ignore"):
+        fq, fx = np.floor(scale * q), np.floor(scale * x)
+    pq, px = np.abs(fq).max(axis=1, initial=0) < PLAIN, np.abs(fx).max(axis=1, initial=0) < PLAIN
+    for lo in range(0, int(pq.sum()), QUERIES // 2):
+        i, j = np.flatnonzero(pq)[lo : lo + QUERIES // 2], np.flatnonzero(px)
+        a, b, s = nra(fq[i], qid[i], fx[j], xid[j], k)
+        yield qid[i][a], xid[j][b], s
+    for i, j in ((np.flatnonzero(pq), np.flatnonzero(~px)), (np.flatnonzero(~pq), np.arange(len(x)))):
+        for lo in range(0, len(i) if len(j) else 0, 16):
+            a, b, s = exact(whole(q[i[lo : lo + 16]], scale), qid[i[lo : lo + 16]], whole(x[j], scale), xid[j], k, np.arange(len(i[lo : lo + 16])), None)
+            yield qid[i[lo:]][a], xid[j][b], s
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -91,18 +118,24 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id:
     Components become floor(scale * x); the score is the whole-number inner product, ties go to the
     smaller id. Vectors that are null, empty or hold null or non-finite
     components, and rows without an id, take no part; vectors of different
-    lengths don't meet. A row that repeats an id is a candidate of its own for other ids, and a
-    query once. Other columns are read only by queries.
+    lengths don't meet. Of rows that repeat an id each is a candidate of its own for other ids, and the one with the least vector is
+    the query. Scores beyond 64 bits are ranked exactly within a block of rows, and given as the nearest number of 64 bits.
+    Other columns are read only by queries. An empty table gives an empty table.
     """
-    whole = F.transform(F.col(vector), lambda v: F.floor(F.lit(scale) * v.cast("double")))
-    sound = F.col(id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 2.0**52 / scale))
-    rows = vectors.where(sound).select(F.col(id).cast("long").alias("id"), whole.alias("v"), F.size(vector).alias("dim"), queries.alias("is_query"))
-    asked = rows.where("is_query").dropDuplicates(["id"])
+    sound = F.col(id).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(F.col(vector), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = vectors.where(sound).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"), queries.alias("is_query"))
+    asked = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     n = math.ceil(asked.count() / QUERIES) or 1
 
+    def small(v: np.ndarray) -> bytes:
+        """As float32 where that loses nothing."""
+        with np.errstate(over="ignore"):
+            light = v.astype(np.float32)
+        return b"4" + light.tobytes() if np.array_equal(light.astype(np.float64), v) else b"8" + v.tobytes()
+
     def packed(tab: pa.Table) -> dict:
         v = tab.column("v").combine_chunks()
-        return {"ids": tab.column("id").to_numpy().astype(np.int64).tobytes(), "data": v.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()}
+        return {"ids": tab.column("id").to_numpy().astype(np.int64).tobytes(), "data": small(v.flatten().to_numpy(zero_copy_only=False).astype(np.float64))}
 
     def block(key, tab):
         p = packed(tab)
@@ -123,19 +156,18 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, id:
             yield joined(d, parts)
 
     def joined(d, parts):
-        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([b"".join(p[k] for p in parts)]) for k in ("ids", "data"))], names=["dim", "ids", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([b"".join(p["ids"] for p in parts)]), pa.array([small(np.concatenate([large(p["data"], d).ravel() for p in parts]))])], names=["dim", "ids", "data"])
 
     cut = rows.select("id", "v", "dim").mapInArrow(blocks, "dim int, ids binary, data binary")
     pairs = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked, ["part", "dim"])
 
     def search(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 qid, xid = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, x = (np.frombuffer(r[s], np.int64).reshape(-1, r["dim"]) for s in ("qdata", "data"))
-                for lo in range(0, len(q), QUERIES // 2):
-                    a, b, s = nra(q[lo : lo + QUERIES // 2], qid[lo : lo + QUERIES // 2], x, xid, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[lo:][a]), pa.array(xid[b]), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+                for a, b, s in both_ways(large(r["qdata"], r["dim"]), qid, large(r["data"], r["dim"]), xid, k, scale):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
     best = pairs.select("dim", "ids", "data", "qids", "qdata").mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,11 +1,12 @@
 """Brute force, round trips and odd inputs for the numbered operators."""
 
-import dataclasses
 import hashlib
 import itertools
 import math
 import random
+import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -185,43 +186,145 @@ def test_context_mixing(spark):
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9) and got[i].score < 0
 
 
-def test_context_mixing_learns_from_whole_texts(spark):
-    long = ["a" * 2000 + "zebra quagga " * k for k in range(1, 160)]
-    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").repartition(3)
-    raw = [x.encode() for x in long]
-    count = np.bincount(np.frombuffer(b"".join(raw), dtype=np.uint8), minlength=257)
-    count[256] = len(raw)
-    held, weights, *_ = context_mixing.fit(df, len(raw))
-    model, t = dataclasses.replace(held.value, weights=weights), context_mixing.tree(count)
-    assert np.array_equal(model.tree.first, t.first) and np.array_equal(model.tree.node, t.node)
-    plain = dataclasses.replace(model, weights=np.full_like(model.weights, 1.2 / len(context_mixing.ORDERS)))
-    for _ in range(context_mixing.PASSES):
-        plain.weights = plain.ends(raw).mean(axis=0)
-    assert np.allclose(model.weights, plain.weights, atol=1e-4)
-    assert context_mixing.share(100) == 1 and context_mixing.share(10**9) * 10**9 > 10**7
+def segments(t):
+    """(bytes, kind) of a text's segments, by a plain loop."""
+    parts, at = [], 0
+    for m in re.finditer(rb"[^\x20\x09-\x0d]+", t):
+        if m.start() == 0 or at:
+            pass
+        else:
+            parts += [b"", t[: m.start()]]
+        if at:
+            parts.append(t[at : m.start()])
+        parts.append(m.group())
+        at = m.end()
+    if not parts:
+        parts = [b""]
+        at = 0
+    if t[at:]:
+        parts += [t[at:], b""]
+    parts.append(b"")
+    out, opens = [], True
+    for k, x in enumerate(parts):
+        if k % 2 == 0:
+            ended = x[-1:] in (b".", b"!", b"?") and x != b""
+            capital = x[:1].isupper() and not x[1:2].isupper() and x[:1].isascii()
+            first = (x[:1].lower() + x[1:] if capital else x, 4 * opens + 8 * capital)
+        else:
+            first, opens = (x, 1 + 4 * ended), ended
+        x, kind = first
+        cut = [x[a : a + 32] for a in range(0, len(x) + 1, 32)]
+        out += [(cut[0], kind)] + [(y, 2 + (kind & 1)) for y in cut[1:]]
+    return out
+
+
+def symbols(x, kind):
+    """(symbol, three before, depth, prefix) of a segment."""
+    out = [(257, [258 + (kind & 7), 266, 266], -1, b"")] if kind & 8 else []
+    for d in range(len(x) + (len(x) < 32)):
+        start = 258 + (kind & 3 if kind & 8 or d and not kind & 1 else kind & 7)
+        before = [*x[max(0, d - 3) : d]][::-1] + [start] * (d < 3) + [266] * 3
+        out.append((x[d] if d < len(x) else 256, before[:3], d, x[:d]))
+    return out
+
+
+def test_context_mixing_equals_a_slow_loop(spark):
+    m = context_mixing
+    df, by_id = docs(spark)
+    df = spark.createDataFrame([*[(r.doc_id, r.text) for r in df.collect()], (1001, "A.B c! Dé  ?\nXY Zz. " + "q" * 70 + " " * 40 + "R"), (1000, "Dé dé\t" + "Q" * 32 + ". W")], "doc_id long, text string").repartition(3)
+    by_id |= {r.doc_id: r.text for r in df.where("doc_id >= 1000").collect()}
+    docs_ = df.withColumn("train", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False)))
+    fitted = m.fit(docs_, m.in_pieces(docs_))
+    t, weights = fitted.held.value.trees, fitted.weights
+    n = {k: Counter() for k in (1, 2, 3, "deep")}
+    cuts = {i: [(x, *y, z) for x, z in segments((v or "").encode()) for y in symbols(x, z)] for i, v in by_id.items()}
+    slot = lambda k, before, node: int(m.slots(np.array([before[0] if k == 1 else before[0] * 267 + before[1] if k == 2 else (before[0] * 267 + before[1]) * 267 + before[2]]), np.array([node]))[0])
+    way = lambda before, s: zip(t.node[t.first[before * 258 + s] : t.first[before * 258 + s + 1]].tolist(), t.bit[t.first[before * 258 + s] : t.first[before * 258 + s + 1]].tolist(), strict=True)
+    follow = {}
+    for i, own in cuts.items():
+        if i % 2 == 0:
+            for x, s, before, d, prefix, kind in own:
+                follow.setdefault((prefix, kind & 3), Counter())[s] += d >= 3
+                for node, bit in way(before[0], s):
+                    n[1][before[0], node, bit] += 1
+                    n[2][slot(2, before, node), bit] += 1
+                    n[3][slot(3, before, node), bit] += 1
+                    n["deep"][prefix, kind & 3, node, bit] += d >= 3
+    odds = lambda c, *k: float(np.clip(round(math.log((c[*k, 1] + 0.4) / (c[*k, 0] + 0.4)) * 16), -127, 127)) / 16
+    got = {r.doc_id: r.score for r in m.score(df, F.col("doc_id") % 2 == 0).collect()}
+    for i, own in cuts.items():
+        cost, k, w = 0.0, 0, weights.astype(float).copy()
+        for x, s, before, d, prefix, kind in own:
+            seen = follow.get((prefix, kind & 3), Counter()) if d >= 3 else Counter()
+            many = sum(seen.values())
+            level = next(g for g, most in enumerate((1, 2, 4, 16, 1e9)) if many < most) + 4 * (many > 0 and len(seen) == 1)
+            gate = (13 if d >= 3 else 12 + min(d, 1)) if kind & 1 else level if d >= 3 else 9 + max(d, 0)
+            for node, bit in way(before[0], s):
+                if k % m.STRETCH == 0:
+                    w = weights.astype(float).copy()
+                v = np.array([odds(n[1], before[0], node), odds(n[2], slot(2, before, node)), odds(n[3], slot(3, before, node)), odds(n["deep"], prefix, kind & 3, node) if many else 0.0])
+                p = 1 / (1 + math.exp(-np.clip(v @ w[gate], -m.LIMIT, m.LIMIT)))
+                cost += math.log10(p if bit else 1 - p)
+                w[gate] += m.RATE * (bit - p) * v
+                k += 1
+        assert got[i] == pytest.approx(cost, rel=2e-3), i
+    assert m.share(100) == 1 and m.share(10**9) * 10**9 > 10**7
+
+
+def test_segments_are_those_of_a_plain_loop():
+    texts = [b"", b" ", b"a", b" a", b"a ", b"  Ab. C\n", "É Xy!".encode(), b"x" * 32, b"y" * 65 + b" " * 33, b"A" * 32 + b"?"]
+    got = context_mixing.Segments(texts)
+    types = [(bytes(got.buf[b : b + n]), int(k)) for b, n, k in zip(got.begin, got.size, got.kind, strict=True)]
+    assert types == [x for t in texts for x in segments(t)]
+    assert np.bincount(got.doc, minlength=len(texts)).tolist() == [len(segments(t)) for t in texts]
+
+
+def test_very_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (20, [3.0, -1.0]), (3, [1e15, 1.0]), (4, [-1e300, 1e-300]), (40, [1e200, 0.0]), (40, [0.0, 5.0]), (7, [1e308, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows]
+    clamp = lambda s: max(min(s, 2**63 - 1), -(2**63))
+    asked = {0: whole[0][1], 20: whole[1][1], 40: whole[5][1]}
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    for q, v in asked.items():
+        want = sorted((-clamp(sum(a * b for a, b in zip(v, x, strict=True))), i) for i, x in whole if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
+    near = spark.createDataFrame([(1, [1e200, 1e199], 0), (2, [1e-200, 1e-201], 0), (3, [-1e200, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(near).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_planted_near_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 50)
+    rnd = np.random.default_rng(8)
+    v = rnd.normal(size=(300, 24))
+    v[150:] = v[:150] + rnd.normal(size=(150, 24)) * rnd.uniform(0.02, 0.3, size=(150, 1))
+    label = rnd.integers(0, 2, 300)
+    label[150:] = label[:150]
+    df = spark.createDataFrame([(i, v[i].tolist(), int(label[i]), 1, 2) for i in range(300)], "vec_id long, embedding array<double>, label int, block int, rep int")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = ((u @ u.T) >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(300, dtype=bool)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert near.sum() > 100 and [got[i] for i in range(300)] == near.sum(1).tolist()
+
+
+def test_a_full_sketch_loses_no_link_and_adds_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "MOST_BITS", 6)
+    monkeypatch.setattr(ngram_jaccard, "HOT", 20)
+    df, by_id = docs(spark)
+    want = {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard(df, 4, 85).collect()}
+    monkeypatch.undo()
+    assert want == {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard(df, 4, 85).collect()}
 
 
-def test_context_odds_are_exact_and_cold_ones_are_joined(spark, monkeypatch):
+def test_columns_of_any_name(spark):
+    names = ["node", "block", "salt", "rep", "n", "h", "comp", "bin", "x", "y", "starts", "__id", "__starts", "rank", "piece", "words"]
     df, by_id = docs(spark)
-    learn = df.where("doc_id % 2 = 0").select("doc_id", "text")
-    model = context_mixing.fit(learn, learn.count())[0].value
-    raw, t = [(t or "").encode() for i, t in by_id.items() if i % 2 == 0], model.tree
-    seen = Counter()
-    for x in raw:
-        for p, s in enumerate([*x, 256]):
-            before = [b + 1 for b in x[max(0, p - 5) : p]][::-1] + [0] * 5
-            for k, order in enumerate(context_mixing.ORDERS):
-                for w in range(t.first[s], t.first[s + 1]):
-                    seen[k, tuple(before[:order]), int(t.node[w]), int(t.bit[w])] += 1
-    want = {}
-    for k, before, node, _ in seen:
-        at = ((k << 45 | sum(b << 9 * j for j, b in enumerate(before))) << 8) | node
-        want[at] = math.log((seen[k, before, node, 1] + 0.4) / (seen[k, before, node, 0] + 0.4))
-    assert dict(zip(model.node.tolist(), model.odds.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
-    hot = {r.doc_id: r.score for r in context_mixing.score(df, F.col("doc_id") % 2 == 0).collect()}
-    monkeypatch.setattr(context_mixing, "HOT_NODES", 300)
-    cold = {r.doc_id: r.score for r in context_mixing.score(df, F.col("doc_id") % 2 == 0).collect()}
-    assert cold == pytest.approx(hot, rel=1e-4)
+    wide = df.select("doc_id", "text", "lang", *(F.lit(k).alias(k) for k in names))
+    same = lambda f: sorted(map(str, f(df).collect())) == sorted(map(str, f(wide).collect()))
+    assert same(ngram_jaccard.ngram_jaccard) and same(substring_dedup.substring_dedup) and same(lambda d: packing.pack_documents(d).groupBy("doc_id").agg(F.sum("length")))
+    assert same(lambda d: context_mixing.score(d, F.col("doc_id") % 2 == 0).select("doc_id", "n_tokens", F.round("base_score", 6)))
+    left = substring_dedup.without_repeats(wide)
+    assert left.columns == wide.columns and left.count() == substring_dedup.without_repeats(df).count()
 
 
 def test_packing(spark):
