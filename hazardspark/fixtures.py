@@ -30,8 +30,8 @@ SELECT e.event_id AS report_id, concat('raw-', CAST(e.event_id AS VARCHAR(20)))
  CASE WHEN e.event_id % 5 = 0 THEN NULL ELSE CAST((e.event_id * 17) % 24000 AS DOUBLE) END AS visibility_m,
  (e.event_id % 4 = 0) AS has_media, (e.event_id % 12 = 0) AS is_noise,
  CASE WHEN e.event_id % 10 = 7 THEN e.event_id - 1 ELSE NULL END AS duplicate_of_report_id,
- e.value / CAST(500 AS DOUBLE) AS reliability_score
-FROM (SELECT ev.*, n.n_docs FROM events ev CROSS JOIN (SELECT count(*) AS n_docs FROM documents) n) e JOIN documents d ON d.doc_id = e.event_id % e.n_docs
+ e.value / CAST(500 AS DOUBLE) AS reliability_score, e.text_id
+FROM (SELECT ev.*, ev.event_id % (SELECT count(*) FROM fx_documents) AS text_id FROM fx_events ev) e JOIN fx_documents d ON d.doc_id = e.text_id
 """
 
 FX_INCIDENTS = """
@@ -46,7 +46,7 @@ SELECT o.o_orderkey AS event_id,
  CAST((o.o_orderkey * 29) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS evidence_score,
  CAST((o.o_orderkey * 31) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS corroboration_score,
  CAST(FLOOR(((o.o_orderkey * 11) % 40) * ((o.o_orderkey * 3) % 10) / CAST(10 AS DOUBLE)) AS INT) AS flagged_report_count
-FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+FROM fx_orders o JOIN fx_customer c ON c.c_custkey = o.o_custkey JOIN fx_nation n ON n.n_nationkey = c.c_nationkey JOIN fx_region r ON r.r_regionkey = n.n_regionkey
 """
 
 FX_ALERTS = """
@@ -65,10 +65,15 @@ SELECT s.s_suppkey AS authority_id, s.s_name AS name,
  CASE WHEN s.s_suppkey % 3 = 0 THEN 'RED' ELSE 'ORANGE' END AS min_level,
  CASE WHEN s.s_suppkey % 11 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS status,
  CASE WHEN s.s_suppkey % 4 = 0 THEN 'HEATWAVE,DUST_STORM' ELSE NULL END AS event_types_csv
-FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey
+FROM fx_supplier s JOIN fx_nation n ON n.n_nationkey = s.s_nationkey JOIN fx_region r ON r.r_regionkey = n.n_regionkey
 """
 
-VIEWS = {"fx_reports": FX_REPORTS, "fx_incidents": FX_INCIDENTS, "fx_alerts": FX_ALERTS, "fx_authorities": FX_AUTHORITIES}
+FX_POSTS = """
+SELECT d.doc_id, d.lang, d.source, concat(d.text, CASE d.doc_id % 8 WHEN 0 THEN ' Heavy #Rain and #Rainfall near the river, more rain @IMD' WHEN 1 THEN ' #Flood water, waterlogging and rain' WHEN 2 THEN ' lightning before the squall #MyTown #rain'
+ WHEN 3 THEN ' dense FOG, low visibility' WHEN 4 THEN ' dust storm and gusts' WHEN 5 THEN ' #heatwave #IMD' ELSE '' END) AS text FROM fx_documents d
+"""
+
+VIEWS = {"fx_posts": FX_POSTS, "fx_reports": FX_REPORTS, "fx_incidents": FX_INCIDENTS, "fx_alerts": FX_ALERTS, "fx_authorities": FX_AUTHORITIES}
 TABLES = ("events", "documents", "orders", "customer", "nation", "region", "supplier")
 
 
@@ -90,6 +95,8 @@ def spark_sql(sql: str) -> str:
 
 
 def duckdb_sql(sql: str) -> str:
+    for t in TABLES:
+        sql = sql.replace(f" fx_{t} ", f" {t} ").replace(f" fx_{t})", f" {t})")
     return _call(sql, "MINUTES", lambda x: f"to_minutes(CAST({x} AS BIGINT))").replace("BASE", "TIMESTAMP '2024-01-01 00:00:00'")
 
 
@@ -98,7 +105,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
         return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     for t in TABLES:
-        spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(t)
+        spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).createOrReplaceTempView(f"fx_{t}")
     if name == "fx_alerts":
         view(spark, sf_dir, "fx_incidents").createOrReplaceTempView("fx_incidents")
     return spark.sql(spark_sql(VIEWS[name]))
@@ -106,9 +113,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(body: str) -> str:
     """DuckDB SQL of a query over the views it names."""
-    needed = [v for v in ("fx_reports", "fx_incidents", "fx_alerts", "fx_authorities") if v in body or (v == "fx_incidents" and "fx_alerts" in body)]
+    needed = [v for v in ("fx_posts", "fx_reports", "fx_incidents", "fx_alerts", "fx_authorities") if v in body or (v == "fx_incidents" and "fx_alerts" in body)]
     head = ", ".join(f"{v} AS ({duckdb_sql(VIEWS[v])})" for v in needed)
     body = _call(body.strip(), "count_if", lambda x: f"count(*) FILTER (WHERE {x})")
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

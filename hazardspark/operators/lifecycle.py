@@ -25,42 +25,80 @@ def headline() -> Column:
     return F.concat(_words(rules.PHRASES, "event_type"), F.lit(" reported across "), place("an unresolved location"))
 
 
-def bulletins(events: DataFrame) -> DataFrame:
-    """Headline, situation, confidence by corroboration (not volume) and the flagged share where it is a quarter or more."""
+def percent(x: Column) -> Column:
+    """A share as whole percent, halves to the even one."""
+    return F.concat(F.bround(F.coalesce(x, F.lit(0.0)) * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
+def bulletins(events: DataFrame, as_of: str | None = None, issuer: str = "this service") -> DataFrame:
+    """The advisory of each event, from templates: confidence by corroboration (not volume), and the flagged share where it is a quarter or more.
+
+    warning_level is GREEN where events have none. as_of is the time of issue, null where not given.
+    """
+    level = F.coalesce("warning_level", F.lit("GREEN")) if "warning_level" in events.columns else F.lit("GREEN")
     confidence = F.when((F.col("source_count") >= 4) & (F.col("evidence_score") >= 0.6), "high").when((F.col("source_count") >= 3) & (F.col("evidence_score") >= 0.45), "medium").otherwise("low")
     flagged = (F.col("report_count") > 0) & (F.col("flagged_report_count") / F.col("report_count") >= 0.25) & (F.col("flagged_report_count") > 0)
-    note = F.when(flagged, F.concat(F.col("flagged_report_count").cast("string"), F.lit(" of "), F.col("report_count").cast("string"), F.lit(" contributing reports are flagged for credibility review."))).otherwise("")
-    return events.select(
-        "event_id", headline().alias("headline"), F.concat(_words(rules.SITUATIONS, "event_type"), F.lit(" across "), place("the affected area"), F.lit(".")).alias("situation"),
-        confidence.alias("confidence"), note.alias("flagged_note"),
-        F.concat(F.col("report_count").cast("string"), F.lit(" reports from "), F.col("source_count").cast("string"), F.lit(" independent sources")).alias("evidence_line"),
+    count = lambda c: F.col(c).cast("string")
+    note = F.when(flagged, F.concat(F.lit(" "), count("flagged_report_count"), F.lit(" of "), count("report_count"), F.lit(" contributing reports are flagged for credibility review."))).otherwise("")
+    what, where = _words(rules.SITUATIONS, "event_type"), place("the affected area")
+    guidance = F.element_at(F.create_map(*[x for k, v in rules.SAFETY.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), F.col("event_type"))
+    got = events.select(
+        "event_id", level.alias("level"), F.concat(F.regexp_replace(what, " (is|are) being reported", ""), F.lit(" — "), where).alias("headline"), F.concat(what, F.lit(" across "), where, F.lit(".")).alias("situation"),
+        _words(rules.EXPECT, "event_type").alias("expect"), guidance.alias("safety"), confidence.alias("confidence"), note.alias("note"),
+        F.concat(count("report_count"), F.lit(" reports from "), count("source_count"), F.lit(" independent sources; reliability "), percent(F.col("evidence_score")), F.lit(", observed-weather agreement "), percent(F.col("corroboration_score")), F.lit(".")).alias("evidence_line"),
+        F.concat(_words(rules.SITUATIONS_HI, "event_type"), F.lit(" — "), where).alias("headline_hi"),
+        (F.date_format(F.lit(as_of).cast("timestamp_ntz"), "dd MMM yyyy, HH:mm 'UTC'")).alias("issued_at"),
     )
+    got = got.withColumn("action", _words(rules.ACTIONS, "level")).withColumn("action_hi", _words(rules.ACTIONS_HI, "level")).withColumn("confidence_note", F.concat(_words(rules.CONFIDENCE_NOTES, "confidence"), "note")).drop("note")
+    lines = [
+        F.concat(F.lit("["), F.col("level"), F.lit("] "), F.col("headline")), F.lit(""), F.col("situation"), F.lit(""), F.concat(F.lit("WHAT TO EXPECT: "), F.col("expect")), F.lit(""), F.lit("WHAT TO DO:"),
+        F.array_join(F.transform("safety", lambda s: F.concat(F.lit("  • "), s)), "\n"), F.lit(""), F.concat(F.lit("CONFIDENCE: "), F.upper("confidence"), F.lit(" — "), F.col("confidence_note")),
+        F.concat(F.lit("EVIDENCE: "), F.col("evidence_line")), F.concat(F.lit("ISSUED: "), F.coalesce("issued_at", F.lit(""))),
+        F.lit("Situation is being monitored continuously; this advisory reflects reports received up to the time of issue."), F.lit(""),
+        F.lit(f"Generated by {issuer} from aggregated public and agency reports. Not an official forecast. Review before public issue."),
+    ]
+    return got.withColumn("text", F.array_join(F.array(*lines), "\n"))
 
 
-def apply_verdicts(events: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, history, rejects) for decisions(event_id, action, by, at): the first decision on an event counts.
+def snapshot(as_of: str) -> Column:
+    """The evidence that justified an alert, as it was at as_of."""
+    score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c)
+    return F.struct("report_count", "source_count", score("evidence_score"), score("corroboration_score"), "flagged_report_count", "severity", "status", F.lit(as_of).alias("frozen_at"))
 
-    A decision on a closed event, on an unknown one, of an unknown action, or after another is rejected with its reason.
-    """
-    first = F.row_number().over(Window.partitionBy("event_id").orderBy("at", "action"))
-    asked = decisions.withColumn("turn", first).withColumn("to", _words(DECISIONS, "action"))
-    met = asked.join(events.select("event_id", F.col("status").alias("before")), "event_id", "left")
-    why = F.when(F.col("before").isNull(), "UNKNOWN_EVENT").when(F.col("to").isNull(), "UNKNOWN_ACTION").when(F.col("before").isin("REJECTED", "RESOLVED"), "CLOSED").when(F.col("turn") > 1, "ALREADY_DECIDED")
-    met = met.withColumn("why", why)
-    good = met.where("why is null")
-    history = good.select("event_id", F.col("before").alias("old_status"), F.col("to").alias("new_status"), F.col("by").alias("changed_by"), F.col("at").alias("created_at"))
-    now = events.join(good.select("event_id", "to"), "event_id", "left").withColumn("status", F.coalesce("to", "status")).drop("to")
-    return now, history, met.where("why is not null").select("event_id", "action", "at", "why")
 
+def apply_verdicts(events: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(events, history, rejects, audit) for decisions(event_id, action, by, at), folded in order of time and action.
 
-def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alerts, rejects) for actions(alert_id, action ACKNOWLEDGE or CLOSE, at): closing wins, acknowledging again changes nothing."""
-    met = actions.join(alerts.select("alert_id", F.col("status").alias("before")), "alert_id", "left")
-    why = F.when(F.col("before").isNull(), "UNKNOWN_ALERT").when(F.col("before") == "CLOSED", "CLOSED").when(~F.col("action").isin("ACKNOWLEDGE", "CLOSE"), "UNKNOWN_ACTION")
-    met = met.withColumn("why", why)
-    to = met.where("why is null").groupBy("alert_id").agg(F.when(F.bool_or(F.col("action") == "CLOSE"), "CLOSED").otherwise("ACKNOWLEDGED").alias("to"))
+    Only a rejected or resolved event refuses a decision; unknown events and actions are refused, too, and change nothing.
+    A decision that leaves the status as it is has an audit row and no history. Levels follow from scoring.warning_level of the new events.
+    """
+    met = decisions.withColumn("to", _words(DECISIONS, "action")).join(events.select("event_id", F.col("status").alias("first")), "event_id", "left")
+    before = Window.partitionBy("event_id").orderBy("at", "action").rowsBetween(Window.unboundedPreceding, -1)
+    shut = F.col("first").isin("REJECTED", "RESOLVED") | F.coalesce(F.max(F.col("to").isin("REJECTED", "RESOLVED")).over(before), F.lit(False))
+    met = met.withColumn("before", F.coalesce(F.last("to", ignorenulls=True).over(before), "first"))
+    met = met.withColumn("why", F.when(F.col("first").isNull(), "UNKNOWN_EVENT").when(F.col("to").isNull(), "UNKNOWN_ACTION").when(shut, "CLOSED"))
+    good = met.where("why is null")
+    history = good.where("before <> to").select("event_id", F.col("before").alias("old_status"), F.col("to").alias("new_status"), F.col("by").alias("changed_by"), F.col("at").alias("created_at"))
+    audit = good.select(F.concat(F.lit("event."), F.lower("to")).alias("action"), F.lit("event").alias("target_type"), F.col("event_id").cast("string").alias("target_id"), F.col("by").alias("actor"), F.col("at").alias("created_at"), F.struct(F.col("before").alias("from"), "to").alias("details"))
+    to = good.groupBy("event_id").agg(F.max_by("to", F.struct("at", "action")).alias("to"))
+    now = events.join(to, "event_id", "left").withColumn("status", F.coalesce("to", "status")).drop("to")
+    return now, history, met.where("why is not null").select("event_id", "action", "at", "why"), audit
+
+
+def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(alerts, rejects, audit) for actions(alert_id, action ACKNOWLEDGE or CLOSE, at), in order of time: a closed alert refuses both, acknowledging again changes nothing and leaves no audit row."""
+    met = actions.join(alerts.select("alert_id", F.col("status").alias("first")), "alert_id", "left")
+    before = Window.partitionBy("alert_id").orderBy("at", "action").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("action").isin("ACKNOWLEDGE", "CLOSE")
+    had = lambda what: F.coalesce(F.max(F.col("action") == what).over(before), F.lit(False))
+    shut = (F.col("first") == "CLOSED") | had("CLOSE")
+    met = met.withColumn("why", F.when(F.col("first").isNull(), "UNKNOWN_ALERT").when(shut, "CLOSED").when(~known, "UNKNOWN_ACTION"))
+    met = met.withColumn("again", (F.col("action") == "ACKNOWLEDGE") & ((F.col("first") == "ACKNOWLEDGED") | had("ACKNOWLEDGE")))
+    good = met.where("why is null")
+    to = good.groupBy("alert_id").agg(F.when(F.bool_or(F.col("action") == "CLOSE"), "CLOSED").otherwise("ACKNOWLEDGED").alias("to"))
     now = alerts.join(to, "alert_id", "left").withColumn("status", F.coalesce("to", "status")).drop("to")
-    return now, met.where("why is not null").select("alert_id", "action", "at", "why")
+    audit = good.where("not again").select(F.concat(F.lit("alert."), F.lower("action")).alias("action"), F.lit("alert").alias("target_type"), F.col("alert_id").cast("string").alias("target_id"), F.col("at").alias("created_at"))
+    return now, met.where("why is not null").select("alert_id", "action", "at", "why"), audit
 
 
 def apply_changes(dim: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +120,7 @@ def resolve_stale(events: DataFrame, as_of: str, hours: int = rules.STALE_HOURS)
 
 
 def deliveries(alerts: DataFrame, authorities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(alert_id, authority_id, channel) still to be queued: one for each channel of a routed authority, less those that exist.
+    """(alert_id, authority_id, channel) still to be queued, on raising and on escalating: one for each channel of a routed authority, less those that exist.
 
     authorities has channels, an array.
     """

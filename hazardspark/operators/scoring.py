@@ -49,12 +49,12 @@ def warning_level(events: DataFrame) -> DataFrame:
 
 
 def support(kind: Column) -> Column:
-    """How far an observation speaks for a type, 0 to 1; 0.5 where the reading is missing."""
+    """How far an observation speaks for a type, 0 to 1; 0.5 where the reading is missing or the type is not known."""
     half = lambda x: F.coalesce(clamp(x), F.lit(0.5))
     rain = half(F.col("precipitation_mm") / 2)
     heat, wind = half((F.col("temperature_c") - 30) / 8), half(F.col("wind_speed_kmh") / 30)
     fog = F.when(F.col("visibility_m").isNotNull(), clamp(1 - F.col("visibility_m") / 10000)).otherwise(half((F.col("humidity_pct") - 60) / 30))
-    return F.round(F.when(kind.isin("RAIN", "FLOOD"), rain).when(kind == "THUNDERSTORM", F.greatest(rain, wind)).when(kind == "HEATWAVE", heat).when(kind == "FOG", fog).otherwise(wind), 4)
+    return F.round(F.when(kind.isin("RAIN", "FLOOD"), rain).when(kind == "THUNDERSTORM", F.greatest(rain, wind)).when(kind == "HEATWAVE", heat).when(kind == "FOG", fog).when(kind.isin("DUST_STORM", "STRONG_WIND"), wind).otherwise(0.5), 4)
 
 
 def dominant_condition() -> Column:
@@ -70,24 +70,53 @@ def metres(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * rules.EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def bands(radius_m: float) -> float:
+    """Height of a band of latitude, a little above the radius."""
+    return radius_m / 111_000 * 1.01
+
+
+def _across(band: Column, step: float) -> Column:
+    """Cells of a band: each as wide as the radius where the band, and the band beside it, is narrowest."""
+    edge = F.least((F.abs(band + 0.5) + 1.5) * step, F.lit(90.0))
+    return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / step), F.lit(1)).cast("long")
+
+
+def cell(lat: Column, lon: Column, radius_m: float) -> Column:
+    """The (band, cell) of a point."""
+    step = bands(radius_m)
+    band = F.floor(lat / step)
+    n = _across(band, step)
+    return F.struct(band.alias("cy"), F.pmod(F.floor((lon + 180) / 360 * n), n).alias("cx"))
+
+
+def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
+    """All cells that hold points within the radius of a point, each once: at any latitude, and across the 180th meridian."""
+    step = bands(radius_m)
+
+    def of(dy):
+        band = F.floor(lat / step) + dy
+        n = _across(band, step)
+        return F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda dx: F.struct(band.alias("cy"), F.pmod(F.floor((lon + 180) / 360 * n) + dx, n).alias("cx")))
+
+    return F.array_distinct(F.concat(of(-1), of(0), of(1)))
+
+
 def nearby_sources(reports: DataFrame, radius_m: float = 15000, minutes: int = 90) -> DataFrame:
     """(report_id, nearby): other sources with an earlier original report of the type, near in space and time.
 
-    An equi-join on type, a grid cell and a time bucket, each candidate side copied to its neighbours, so neither a
-    nested loop nor a whole type meets in one task; the distance is the residual.
+    An equi-join on type, a grid cell and a time bucket, each probe copied to the cells around it, so neither a
+    nested loop nor a whole type meets in one task; the distance is the residual. To a report without a source all sources are others.
     """
-    step = radius_m / 111_000 * 1.01
-    rows = reports.where("latitude is not null and duplicate_of_report_id is null").select(
+    rows = reports.where("latitude is not null and longitude is not null and duplicate_of_report_id is null").select(
         "report_id", "source_id", F.col("predicted_event_type").alias("kind"), "latitude", "longitude", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("t"),
     )
-    # a cell is at least the radius wide up to 60 degrees of latitude
-    cells = lambda d: d.withColumn("cy", F.floor(F.col("latitude") / step)).withColumn("cx", F.floor(F.col("longitude") / (2 * step))).withColumn("ct", F.floor(F.col("t") / (minutes * 60)))
-    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    other = cells(rows).select("kind", "cy", "cx", "ct", *(F.col(x).alias(f"o_{x}") for x in ("report_id", "source_id", "latitude", "longitude", "t")))
-    probe = cells(rows).withColumn("cy", around("cy")).withColumn("cx", around("cx")).withColumn("ct", F.explode(F.array(F.col("ct") - 1, F.col("ct"))))
+    at = lambda d: d.withColumn("ct", F.floor(F.col("t") / (minutes * 60)))
+    other = at(rows).withColumn("cell", cell(F.col("latitude"), F.col("longitude"), radius_m)).select("kind", "cell", "ct", *(F.col(x).alias(f"o_{x}") for x in ("report_id", "source_id", "latitude", "longitude", "t")))
+    probe = at(rows).withColumn("cell", F.explode(cells_around(F.col("latitude"), F.col("longitude"), radius_m))).withColumn("ct", F.explode(F.array(F.col("ct") - 1, F.col("ct"))))
     earlier = (F.col("o_t") < F.col("t")) | ((F.col("o_t") == F.col("t")) & (F.col("o_report_id") < F.col("report_id")))
     near = metres(F.col("latitude"), F.col("longitude"), F.col("o_latitude"), F.col("o_longitude")) <= radius_m
-    met = probe.join(other, ["kind", "cy", "cx", "ct"]).where(earlier & (F.col("o_t") >= F.col("t") - minutes * 60) & (F.col("o_source_id") != F.col("source_id")) & near)
+    apart = F.col("source_id").isNull() | (F.col("o_source_id") != F.col("source_id"))
+    met = probe.join(other, ["kind", "cell", "ct"]).where(earlier & (F.col("o_t") >= F.col("t") - minutes * 60) & apart & near)
     found = met.groupBy("report_id").agg(F.count_distinct("o_source_id").alias("nearby"))
     return reports.select("report_id").join(found, "report_id", "left").na.fill(0, ["nearby"])
 
@@ -100,17 +129,21 @@ def reliability(reports: DataFrame) -> DataFrame:
     return reports.withColumn("score", F.round(score + 1e-9, 4)).withColumn("band", band)
 
 
-def route(alerts: DataFrame, authorities: DataFrame) -> DataFrame:
+def route(alerts: DataFrame, authorities: DataFrame, salts: int = 16) -> DataFrame:
     """(alert_id, authority_id): active authorities whose level, area and subscription cover the alert.
 
-    Three equi-joins by the authority's level instead of one join on a condition.
+    One equi-join on the area and the rank of the alert: an alert asks for the nation, its state and its
+    district, an authority answers for every rank from its least. The nation is one area, so its rows are dealt by a salt.
     """
     ranks = lambda c: rank_of(F.col(c), rules.WARNING_LEVELS)
-    who = authorities.where("status = 'ACTIVE'").select("authority_id", F.col("level").alias("reach"), F.col("state").alias("a_state"), F.col("district").alias("a_district"), ranks("min_level").alias("least"), F.split("event_types_csv", ",").alias("types"))
-    what = alerts.select("alert_id", "event_type", "state", "district", ranks("level").alias("rank"))
-    takes = (F.col("rank") >= F.col("least")) & (F.col("types").isNull() | F.array_contains("types", F.col("event_type")))
-    everywhere = what.withColumn("one", F.lit("NATIONAL")).join(who.where("reach = 'NATIONAL'"), F.col("one") == F.col("reach"))
-    states = what.join(who.where("reach = 'STATE'"), F.col("state") == F.col("a_state"))
-    districts = what.join(who.where("reach = 'DISTRICT'"), (F.col("district") == F.col("a_district")) & (F.coalesce("a_state", F.lit("")).isin("") | (F.col("state") == F.col("a_state"))))
-    keep = lambda d: d.where(takes).select("alert_id", "authority_id")
-    return keep(everywhere).unionByName(keep(states)).unionByName(keep(districts))
+    top = len(rules.WARNING_LEVELS) - 1
+    reach = F.when(F.col("level") == "NATIONAL", F.struct(F.lit("NATIONAL").alias("reach"), F.lit("").alias("area"))).when(F.col("level") == "STATE", F.struct(F.lit("STATE").alias("reach"), F.col("state").alias("area"))).when(
+        F.col("level") == "DISTRICT", F.struct(F.lit("DISTRICT").alias("reach"), F.col("district").alias("area"))
+    )
+    who = authorities.where("status = 'ACTIVE'").select("authority_id", reach.alias("r"), F.col("state").alias("a_state"), F.split("event_types_csv", ",").alias("types"), F.explode(F.sequence(ranks("min_level"), F.lit(top))).alias("rank"))
+    who = who.select("authority_id", "r.reach", "r.area", "a_state", "types", "rank", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).where("area is not null")
+    asks = F.array(*[F.struct(F.lit(k).alias("reach"), x.alias("area")) for k, x in (("NATIONAL", F.lit("")), ("STATE", F.col("state")), ("DISTRICT", F.col("district")))])
+    what = alerts.select("alert_id", "event_type", "state", ranks("level").alias("rank"), F.pmod(F.xxhash64("alert_id"), F.lit(salts)).cast("int").alias("salt"), F.inline(asks)).where("area is not null and rank is not null")
+    takes = F.col("types").isNull() | F.array_contains("types", F.col("event_type"))
+    own = (F.col("reach") != "DISTRICT") | (F.coalesce("a_state", F.lit("")) == "") | (F.col("state") == F.col("a_state"))
+    return what.join(who, ["reach", "area", "rank", "salt"]).where(takes & own).select("alert_id", "authority_id")

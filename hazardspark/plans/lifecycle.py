@@ -14,13 +14,19 @@ from hazardspark.plans.base import query
 _CASE = lambda mapping: "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 
 
-@query("fx_incidents", sql=f"""SELECT event_id, {_CASE(rules.PHRASES)} || ' reported across ' || district || CASE WHEN state <> district THEN ', ' || state ELSE '' END AS headline,
-{_CASE(rules.SITUATIONS)} || ' across ' || district || CASE WHEN state <> district THEN ', ' || state ELSE '' END || '.' AS situation,
+_WHERE = "district || CASE WHEN state <> district THEN ', ' || state ELSE '' END"
+_SHARE = lambda x: f"CAST(CAST(round_even({x} * 100, 0) AS BIGINT) AS VARCHAR) || '%'"
+
+
+@query("fx_incidents", sql=f"""SELECT event_id, replace(replace({_CASE(rules.SITUATIONS)}, ' is being reported', ''), ' are being reported', '') || ' — ' || {_WHERE} AS headline,
+{_CASE(rules.SITUATIONS)} || ' across ' || {_WHERE} || '.' AS situation, {_CASE(rules.EXPECT)} AS expect, {_CASE({k: ' / '.join(v) for k, v in rules.SAFETY.items()})} AS safety,
 CASE WHEN source_count >= 4 AND evidence_score >= 0.6 THEN 'high' WHEN source_count >= 3 AND evidence_score >= 0.45 THEN 'medium' ELSE 'low' END AS confidence,
-CASE WHEN flagged_report_count > 0 AND flagged_report_count / report_count >= 0.25 THEN flagged_report_count || ' of ' || report_count || ' contributing reports are flagged for credibility review.' ELSE '' END AS flagged_note,
-report_count || ' reports from ' || source_count || ' independent sources' AS evidence_line FROM fx_incidents""")
+CASE WHEN source_count >= 4 AND evidence_score >= 0.6 THEN '{rules.CONFIDENCE_NOTES['high']}' WHEN source_count >= 3 AND evidence_score >= 0.45 THEN '{rules.CONFIDENCE_NOTES['medium']}' ELSE '{rules.CONFIDENCE_NOTES['low']}' END
+|| CASE WHEN flagged_report_count > 0 AND flagged_report_count / report_count >= 0.25 THEN ' ' || flagged_report_count || ' of ' || report_count || ' contributing reports are flagged for credibility review.' ELSE '' END AS confidence_note,
+report_count || ' reports from ' || source_count || ' independent sources; reliability ' || {_SHARE('evidence_score')} || ', observed-weather agreement ' || {_SHARE('corroboration_score')} || '.' AS evidence_line,
+{_CASE(rules.SITUATIONS_HI)} || ' — ' || {_WHERE} AS headline_hi FROM fx_incidents""")
 def advisory_bulletins(e: DataFrame) -> DataFrame:
-    return lc.bulletins(e)
+    return lc.bulletins(e).select("event_id", "headline", "situation", "expect", F.array_join("safety", " / ").alias("safety"), "confidence", "confidence_note", "evidence_line", "headline_hi")
 
 
 @query("fx_alerts", sql="SELECT alert_id, level, status, raised_at FROM fx_alerts WHERE status IN ('ACTIVE', 'ACKNOWLEDGED') ORDER BY CASE level WHEN 'RED' THEN 3 WHEN 'ORANGE' THEN 2 ELSE 0 END DESC, raised_at, alert_id LIMIT 100")
@@ -38,12 +44,12 @@ def _decisions(e: DataFrame) -> DataFrame:
 _DECIDED = """d AS (SELECT event_id, i, CASE WHEN (event_id + i) % 2 = 0 THEN 'VERIFY' ELSE 'REJECT' END AS action FROM fx_incidents, (SELECT unnest([0, 1]) AS i) WHERE event_id % 3 = 0 AND (i = 0 OR event_id % 9 = 0))"""
 
 
-@query("fx_incidents", sql=f"""WITH {_DECIDED} SELECT e.event_id, CASE WHEN d.action IS NULL OR e.status IN ('REJECTED', 'RESOLVED') THEN e.status WHEN d.action = 'VERIFY' THEN 'VERIFIED' ELSE 'REJECTED' END AS status FROM fx_incidents e LEFT JOIN d ON d.event_id = e.event_id AND d.i = 0""")
+@query("fx_incidents", sql=f"""WITH {_DECIDED} SELECT e.event_id, CASE WHEN e.status IN ('REJECTED', 'RESOLVED') OR e.event_id % 3 <> 0 THEN e.status WHEN EXISTS (SELECT 1 FROM d WHERE d.event_id = e.event_id AND d.action = 'REJECT') THEN 'REJECTED' ELSE 'VERIFIED' END AS status FROM fx_incidents e""")
 def apply_verdicts(e: DataFrame) -> DataFrame:
     return lc.apply_verdicts(e, _decisions(e))[0].select("event_id", "status")
 
 
-@query("fx_incidents", sql=f"""WITH {_DECIDED} SELECT d.event_id, d.action, CASE WHEN e.status IN ('REJECTED', 'RESOLVED') THEN 'CLOSED' ELSE 'ALREADY_DECIDED' END AS why FROM d JOIN fx_incidents e USING (event_id) WHERE d.i = 1 OR e.status IN ('REJECTED', 'RESOLVED')""")
+@query("fx_incidents", sql=f"""WITH {_DECIDED} SELECT d.event_id, d.action, 'CLOSED' AS why FROM d JOIN fx_incidents e USING (event_id) WHERE e.status IN ('REJECTED', 'RESOLVED') OR EXISTS (SELECT 1 FROM d p WHERE p.event_id = d.event_id AND p.i < d.i AND p.action = 'REJECT')""")
 def verdict_rejects(e: DataFrame) -> DataFrame:
     return lc.apply_verdicts(e, _decisions(e))[2].select("event_id", "action", "why")
 

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from hazardspark import fixtures as fx
 from hazardspark import rules
 from hazardspark.functions import text
-from hazardspark.operators import clustering, models
+from hazardspark.operators import clustering, intake, models
 from hazardspark.operators import credibility as c
 from hazardspark.operators import scoring as s
 from hazardspark.plans.base import query
 
 _HITS = {k: " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in words) for k, words in rules.KEYWORDS.items()}
 _KINDS = list(rules.KEYWORDS)
-_CLASSIFIED = f"""h AS (SELECT *, {', '.join(f'{x} AS h_{k.lower()}' for k, x in _HITS.items())} FROM (SELECT *, lower(coalesce(text, '')) t FROM documents)),
+_CLASSIFIED = f"""h AS (SELECT *, {', '.join(f'{x} AS h_{k.lower()}' for k, x in _HITS.items())} FROM (SELECT *, lower(coalesce(text, '')) t FROM fx_posts)),
 k AS (SELECT *, {' + '.join(f'h_{k.lower()}' for k in _KINDS)} AS total, greatest({', '.join(f'h_{k.lower()}' for k in _KINDS)}) AS most FROM h)"""
 _PREDICTED = "CASE " + " ".join(f"WHEN total = 0 OR h_{k.lower()} = most THEN '{k}'" for k in _KINDS) + " END"
 
 
-@query("documents", sql=f"WITH {_CLASSIFIED} SELECT doc_id, CAST(total AS BIGINT) hits, {_PREDICTED} AS predicted, total > 0 AS has_signal FROM k")
+@query("fx_posts", sql=f"WITH {_CLASSIFIED} SELECT doc_id, CAST(total AS BIGINT) hits, {_PREDICTED} AS predicted, total > 0 AS has_signal FROM k")
 def keyword_scores(d: DataFrame) -> DataFrame:
     return text.classified(d).select("doc_id", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x).alias("hits"), "predicted", "has_signal")
 
@@ -35,15 +35,15 @@ def url_mentions(p: DataFrame) -> DataFrame:
     return p.select("page_id", F.array_join(text.urls(F.col("html")), " ").alias("urls"), F.array_join(text.mentions(F.col("html")), " ").alias("mentions"))
 
 
-@query("documents")
+@query("documents", sql=r"SELECT doc_id, CASE WHEN c BETWEEN 2304 AND 2431 THEN 'hi' WHEN c BETWEEN 2432 AND 2559 THEN 'bn' WHEN c BETWEEN 2688 AND 2815 THEN 'gu' WHEN c BETWEEN 2944 AND 3071 THEN 'ta' ELSE 'en' END AS language FROM (SELECT doc_id, CASE WHEN x <> '' THEN unicode(x) END c FROM (SELECT doc_id, regexp_extract(text, '([\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A80}-\x{0AFF}\x{0B80}-\x{0BFF}])', 1) x FROM documents))")
 def language_by_script(d: DataFrame) -> DataFrame:
     return d.select("doc_id", text.script_language(F.col("text")).alias("language"))
 
 
-_TAGS = r"t AS (SELECT DISTINCT doc_id, lang, unnest(list_transform(regexp_extract_all(text, '#([\p{L}\p{N}_]+)', 1), lambda x: lower(x))) AS tag FROM documents)"
+_TAGS = r"t AS (SELECT DISTINCT doc_id, lang, unnest(list_transform(regexp_extract_all(text, '#([\p{L}\p{N}_]+)', 1), lambda x: lower(x))) AS tag FROM fx_posts)"
 
 
-@query("documents", sql=f"WITH {_TAGS}, n AS (SELECT tag, lang, count(*) n FROM t GROUP BY ALL) SELECT tag, CAST(sum(n) AS BIGINT) n, arg_min(lang, (-n, lang)) dominant, list_contains([{', '.join(repr(x) for x in rules.TRACKED_HASHTAGS)}], tag) AS tracked FROM n WHERE lang IS NOT NULL GROUP BY tag ORDER BY n DESC, tag LIMIT 100")
+@query("fx_posts", sql=f"WITH {_TAGS}, n AS (SELECT tag, lang, count(*) n FROM t GROUP BY ALL) SELECT tag, CAST(sum(n) AS BIGINT) n, arg_min(lang, (-n, lang)) dominant, list_contains([{', '.join(repr(x) for x in rules.TRACKED_HASHTAGS)}], tag) AS tracked FROM n WHERE lang IS NOT NULL GROUP BY tag ORDER BY n DESC, tag LIMIT 100")
 def hashtag_ranking(d: DataFrame) -> DataFrame:
     tags = d.select("lang", F.explode(text.hashtags(F.col("text"))).alias("tag")).where("lang is not null")
     by = tags.groupBy("tag", "lang").agg(F.count("*").alias("n"))
@@ -87,7 +87,7 @@ def credibility_rollup(r: DataFrame) -> DataFrame:
 @query("fx_reports", sql=f"WITH {_NEAR}, {_FLAGS} SELECT report_id, list_contains(flags, 'CONTRADICTED_BY_OBSERVATION') AND location_confidence <= 0.45 AS released FROM w")
 def backfill_credibility(r: DataFrame) -> DataFrame:
     """As if a location had counted as coarse up to 0.45."""
-    return assessed(r).select("report_id", F.expr("array_contains(flags, 'CONTRADICTED_BY_OBSERVATION') and location_confidence <= 0.45").alias("released"))
+    return c.release_contradictions(assessed(r), 0.45).select("report_id", "released")
 
 
 @query("fx_reports", sql="""WITH o AS (SELECT DISTINCT district, date_trunc('hour', observed_at) AS obs_time FROM fx_reports WHERE precipitation_mm IS NOT NULL),
@@ -98,15 +98,19 @@ def weather_asof(r: DataFrame) -> DataFrame:
     return c.nearest_observation(r, hourly, "district")
 
 
-@query("fx_reports", sql="SELECT report_id, CASE WHEN precipitation_mm >= 2 THEN 'Observed rainfall ' || printf('%.1f', precipitation_mm) || 'mm/h at ' || district || ' station' WHEN temperature_c >= 38 THEN 'Observed temperature ' || printf('%.1f', temperature_c) || 'C at ' || district || ' station, heatwave threshold crossed' WHEN wind_speed_kmh >= 30 THEN 'Observed strong wind ' || printf('%.1f', wind_speed_kmh) || 'kmph at ' || district || ' station' ELSE 'Observed humidity ' || printf('%.1f', humidity_pct) || '% at ' || district || ' station, fog and low visibility likely' END AS finding FROM fx_reports WHERE precipitation_mm >= 2 OR temperature_c >= 38 OR wind_speed_kmh >= 30 OR humidity_pct >= 95")
+@query("fx_reports", sql="SELECT report_id, CASE WHEN precipitation_mm >= 2 THEN 'Observed rainfall ' || printf('%.1f', precipitation_mm) || 'mm/h at ' || district || ' station' WHEN temperature_c >= 38 THEN 'Observed temperature ' || printf('%.1f', temperature_c) || 'C at ' || district || ' station, heatwave threshold crossed' WHEN wind_speed_kmh >= 30 THEN 'Observed strong wind ' || printf('%.1f', wind_speed_kmh) || ' kmph at ' || district || ' station' ELSE 'Observed humidity ' || printf('%.1f', humidity_pct) || '% at ' || district || ' station, fog and low visibility likely' END AS finding FROM fx_reports WHERE precipitation_mm >= 2 OR temperature_c >= 38 OR wind_speed_kmh >= 30 OR humidity_pct >= 95")
 def observation_findings(r: DataFrame) -> DataFrame:
     return r.select("report_id", c.finding(F.col("district")).alias("finding")).where("finding is not null")
 
 
-@query("fx_reports")
-def hash_duplicates(r: DataFrame) -> DataFrame:
-    """Texts recur every so many reports, so the window here is a week."""
-    return clustering.hash_duplicates(r.select("report_id", text.content_hash(F.col("raw_text")).alias("text_hash"), F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("t")), 168)
+@query("fx_reports", "documents", sql=r"""WITH RECURSIVE x AS MATERIALIZED (SELECT r.report_id, CAST(epoch(r.observed_at) AS BIGINT) t, d.h FROM fx_reports r JOIN (SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://\S+|www\.\S+)', ' ', 'g'), '[#@]([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g')))) AS h FROM documents) d ON d.doc_id = r.text_id WHERE d.h IS NOT NULL),
+o AS (SELECT h, report_id, t FROM x QUALIFY row_number() OVER (PARTITION BY h ORDER BY t, report_id) = 1 UNION ALL
+SELECT h, report_id, t FROM (SELECT x.h, x.report_id, x.t, row_number() OVER (PARTITION BY x.h ORDER BY x.t, x.report_id) rn FROM o JOIN x ON x.h = o.h AND x.t > o.t + 604800) WHERE rn = 1)
+SELECT x.report_id, nullif(arg_max(o.report_id, o.t), x.report_id) AS duplicate_of FROM x JOIN o ON o.h = x.h AND o.t <= x.t GROUP BY x.report_id""")
+def hash_duplicates(r: DataFrame, d: DataFrame) -> DataFrame:
+    """Texts recur every so many reports, so the window here is a week. A text is hashed once and its digest joined to the reports that carry it."""
+    digest = d.select(F.col("doc_id").alias("text_id"), text.content_hash(F.col("text")).alias("text_hash"))
+    return clustering.hash_duplicates(r.select("report_id", "text_id", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("t")).join(digest, "text_id").drop("text_id"), 168)
 
 
 @query("fx_reports")
@@ -150,12 +154,11 @@ def reconcile(lake: DataFrame, serving: DataFrame) -> DataFrame:
     return left.join(right, "report_id", "full").agg(F.count("l").alias("lake"), F.count("r").alias("serving"), F.count_if(F.col("r").isNull()).alias("only_lake"), F.count_if(F.col("l").isNull()).alias("only_serving"))
 
 
-@query("fx_reports", sql="SELECT report_id, CASE WHEN length(raw_text) > 2000 THEN 'TEXT_LONG' WHEN raw_text IS NULL OR length(raw_text) < 3 THEN 'TEXT_SHORT' ELSE '' END || CASE WHEN latitude IS NULL THEN ',NO_PLACE' ELSE '' END AS reasons FROM fx_reports WHERE raw_text IS NULL OR length(raw_text) NOT BETWEEN 3 AND 2000 OR latitude IS NULL")
-def intake_validate(r: DataFrame) -> DataFrame:
-    """The quarantine of intake: rows with the reasons against them."""
-    n = F.length("raw_text")
-    why = F.concat(F.when(n > 2000, "TEXT_LONG").when(n.isNull() | (n < 3), "TEXT_SHORT").otherwise(""), F.when(F.col("latitude").isNull(), ",NO_PLACE").otherwise(""))
-    return r.select("report_id", why.alias("reasons")).where("reasons <> ''")
+@query("fx_reports", "documents", sql="SELECT * FROM (SELECT report_id, concat_ws(',', CASE WHEN length(coalesce(raw_text, '')) < 3 THEN 'TEXT_SHORT' WHEN length(raw_text) > 2000 THEN 'TEXT_LONG' END, CASE WHEN latitude NOT BETWEEN -10 AND 24 THEN 'LATITUDE' END) AS reasons FROM fx_reports) WHERE reasons <> ''")
+def intake_validate(r: DataFrame, d: DataFrame) -> DataFrame:
+    """The quarantine of intake: rows with the reasons against them. A text is measured once; latitudes end at 24 here, as none lies beyond 90."""
+    size = d.select(F.col("doc_id").alias("text_id"), F.length("text").alias("n"))
+    return intake.validated(r.select("report_id", "text_id", "latitude", "longitude").join(size, "text_id"), F.col("n"), latitudes=(-10, 24)).where("size(reasons) > 0").select("report_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("fx_reports", "fx_reports", sql="SELECT report_id FROM fx_reports WHERE report_id % 10 <> 7")

@@ -9,7 +9,7 @@ from hazardspark import rules
 from hazardspark.functions import text
 from hazardspark.operators import analytics as a
 from hazardspark.operators import scoring as s
-from hazardspark.plans import lifecycle, places, reports  # noqa: F401  (they register their queries)
+from hazardspark.plans import browsing, lifecycle, places, reports  # noqa: F401  (they register their queries)
 from hazardspark.plans.base import ORACLE, QUERIES, query  # noqa: F401
 
 _TYPES = ", ".join(f"count_if({{0}} = '{t}') AS {t.lower()}" for t in rules.EVENT_TYPES)
@@ -114,7 +114,7 @@ def severity_status_warning(e):
     return s.warning_level(e).select("event_id", "severity", "auto_status", "warning_level", "capped")
 
 
-_SUPPORT = """CASE WHEN predicted_event_type IN ('RAIN', 'FLOOD') THEN rain WHEN predicted_event_type = 'THUNDERSTORM' THEN greatest(rain, wind) WHEN predicted_event_type = 'HEATWAVE' THEN heat WHEN predicted_event_type = 'FOG' THEN fog ELSE wind END"""
+_SUPPORT = """CASE WHEN predicted_event_type IN ('RAIN', 'FLOOD') THEN rain WHEN predicted_event_type = 'THUNDERSTORM' THEN greatest(rain, wind) WHEN predicted_event_type = 'HEATWAVE' THEN heat WHEN predicted_event_type = 'FOG' THEN fog WHEN predicted_event_type IN ('DUST_STORM', 'STRONG_WIND') THEN wind ELSE 0.5 END"""
 _PARTS = """SELECT *, coalesce(least(greatest(precipitation_mm / 2, 0), 1), 0.5) rain, coalesce(least(greatest((temperature_c - 30) / 8, 0), 1), 0.5) heat, coalesce(least(greatest(wind_speed_kmh / 30, 0), 1), 0.5) wind, CASE WHEN visibility_m IS NOT NULL THEN least(greatest(1 - visibility_m / 10000, 0), 1) ELSE coalesce(least(greatest((humidity_pct - 60) / 30, 0), 1), 0.5) END fog FROM fx_reports"""
 
 
@@ -128,7 +128,7 @@ def dominant_condition(r):
     return r.select("report_id", s.dominant_condition().alias("condition"))
 
 
-_NEAR = """n AS (SELECT x.report_id, count(DISTINCT y.source_id) nearby FROM fx_reports x JOIN fx_reports y ON x.predicted_event_type = y.predicted_event_type AND y.duplicate_of_report_id IS NULL AND y.source_id <> x.source_id AND (y.observed_at < x.observed_at OR (y.observed_at = x.observed_at AND y.report_id < x.report_id)) AND y.observed_at >= x.observed_at - INTERVAL 90 MINUTES
+_NEAR = """n AS (SELECT x.report_id, count(DISTINCT y.source_id) nearby FROM fx_reports x JOIN fx_reports y ON x.predicted_event_type = y.predicted_event_type AND y.duplicate_of_report_id IS NULL AND (x.source_id IS NULL OR y.source_id <> x.source_id) AND (y.observed_at < x.observed_at OR (y.observed_at = x.observed_at AND y.report_id < x.report_id)) AND y.observed_at >= x.observed_at - INTERVAL 90 MINUTES
 AND 2 * 6371008.8 * asin(sqrt(least(pow(sin(radians(y.latitude - x.latitude) / 2), 2) + cos(radians(x.latitude)) * cos(radians(y.latitude)) * pow(sin(radians(y.longitude - x.longitude) / 2), 2), 1))) <= 15000 WHERE x.duplicate_of_report_id IS NULL GROUP BY x.report_id)"""
 
 
@@ -179,7 +179,7 @@ def district_options(e):
     return a.district_options(e)
 
 
-@query("documents", sql=r"SELECT doc_id, hashtags FROM (SELECT doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ',') AS hashtags FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '#([\p{L}\p{N}_]+)', 1), lambda v: lower(v)) x FROM documents))")
+@query("fx_posts", sql=r"SELECT doc_id, hashtags FROM (SELECT doc_id, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ',') AS hashtags FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '#([\p{L}\p{N}_]+)', 1), lambda v: lower(v)) x FROM fx_posts))")
 def hashtags_extract(d):
     return d.select("doc_id", F.array_join(text.hashtags(F.col("text")), ",").alias("hashtags"))
 
