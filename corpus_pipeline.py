@@ -14,12 +14,12 @@ from hazardspark.llm import language_id, ngram_jaccard, packing, substring_dedup
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or that no learnt language clearly explains best, go."""
+    """Texts without a letter, or that no learnt language clearly explains best, go; null and empty texts, too. Learnt from docs themselves; an empty table stays empty."""
     return language_id.identified(docs, language_id.fit(docs))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go; learnt from those that have a label."""
+    """Documents predicted toxic go; learnt from those that have a label. Null and empty texts are scored as texts without words."""
     labels = c.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels, language_id.fit(docs))
     return toxicity.clean(docs, model)
@@ -37,6 +37,7 @@ def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts left, with their sequence and offset. Null and empty texts are the end id alone; an empty table gives none."""
     return packing.pack_documents(docs)
 
 
