@@ -3,8 +3,8 @@
 Unit vectors with cosine >= c are at most sqrt(2 - 2c) apart. After a fixed
 rotation the dimensions are cut into BLOCKS; of a close pair one block at least has its
 proportional part of the squared distance or less. So each block is range-joined
-under that budget: by cells of its first three coordinates, as wide as the radius. Of the first, neighbouring
-slabs meet; of the others a row is in its own cell and in the next, and a pair counts in the first cell that both share.
+under that budget: by cells of its first COORDINATES coordinates, as wide as the radius. Of the first, neighbouring
+slabs meet; of any other a row is in its own cell and in the next, and a pair counts in the first cell that both share.
 Large cells are cut into row blocks. What the range join of a
 block finds is verified by the cosine in double precision, and counted in the
 first block that finds it. A task returns link counts and a spanning forest of
@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
 
 BLOCKS = 4
-COORDINATES = 3
+COORDINATES = 2
 TILE = 1024
 PAIRS = 1 << 16
 
@@ -99,7 +100,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id: str = "vec_id"
                         first, last = edges_of(dim)[k : k + 2]
                         cell = np.floor(r[:, first : min(last, first + COORDINATES)] / width[k]).astype(np.int32)
                         for late in range(1 << (cell.shape[1] - 1)):
-                            more = [cell[:, j] + (late >> (j - 1) & 1) if j < cell.shape[1] else np.zeros(n, np.int32) for j in range(1, COORDINATES)]
+                            more = [cell[:, j] + (late >> (j - 1) & 1) if j < cell.shape[1] else np.zeros(n, np.int32) for j in range(1, 3)]
                             cols = [tab.column("label").combine_chunks(), pa.array([dim] * n, pa.int32()), pa.array([k] * n, pa.int32()), *(pa.array(x, pa.int32()) for x in more), pa.array(cell[:, 0]), tab.column("rep").combine_chunks()]
                             if with_vector:
                                 cols += [pa.array([late] * n, pa.int32()), tab.column("n").combine_chunks(), tab.column("v").combine_chunks()]
@@ -161,6 +162,10 @@ def by_length(tab: pa.Table):
 
 def split_rows(tab: pa.Table):
     """The groups of a hash value: one, but for a collision."""
+    names = ("label", "dim", "block", "c1", "c2", "slab", "x", "y")
+    if all(pc.count_distinct(tab.column(k), mode="all").as_py() == 1 for k in names):
+        yield tab
+        return
     keys: dict[tuple, list[int]] = {}
     for i, key in enumerate(zip(*(tab.column(k).to_pylist() for k in ("label", "dim", "block", "c1", "c2", "slab", "x", "y")), strict=True)):
         keys.setdefault(key, []).append(i)
