@@ -106,11 +106,12 @@ def observation_findings(r: DataFrame) -> DataFrame:
 @query("fx_reports", "documents", sql=r"""WITH RECURSIVE x AS MATERIALIZED (SELECT r.report_id, CAST(epoch(r.observed_at) AS BIGINT) t, d.h FROM fx_reports r JOIN (SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(https?://\S+|www\.\S+)', ' ', 'g'), '[#@]([\p{L}\p{N}_]+)', '\1', 'g'), '\s+', ' ', 'g')))) AS h FROM documents) d ON d.doc_id = r.text_id WHERE d.h IS NOT NULL),
 o AS (SELECT h, report_id, t FROM x QUALIFY row_number() OVER (PARTITION BY h ORDER BY t, report_id) = 1 UNION ALL
 SELECT h, report_id, t FROM (SELECT x.h, x.report_id, x.t, row_number() OVER (PARTITION BY x.h ORDER BY x.t, x.report_id) rn FROM o JOIN x ON x.h = o.h AND x.t > o.t + 604800) WHERE rn = 1)
-SELECT x.report_id, nullif(arg_max(o.report_id, o.t), x.report_id) AS duplicate_of FROM x JOIN o ON o.h = x.h AND o.t <= x.t GROUP BY x.report_id""")
+SELECT x.report_id, arg_max(o.report_id, o.t) AS original FROM x JOIN o ON o.h = x.h AND o.t <= x.t GROUP BY x.report_id""")
 def hash_duplicates(r: DataFrame, d: DataFrame) -> DataFrame:
     """Texts recur every so many reports, so the window here is a week. A text is hashed once and its digest joined to the reports that carry it."""
     digest = d.select(F.col("doc_id").alias("text_id"), text.content_hash(F.col("text")).alias("text_hash"))
-    return clustering.hash_duplicates(r.select("report_id", "text_id", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("t")).join(digest, "text_id").drop("text_id"), 168)
+    found = clustering.hash_duplicates(r.select("report_id", "text_id", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("t")).join(digest, "text_id").drop("text_id"), 168)
+    return found.select("report_id", F.coalesce("duplicate_of", "report_id").alias("original"))
 
 
 @query("fx_reports")
