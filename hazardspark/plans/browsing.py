@@ -320,7 +320,7 @@ def training_rows(r: DataFrame, d: DataFrame) -> DataFrame:
 
 
 def _dedupe_input(r: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
-    t = d.select(F.col("doc_id").alias("text_id"), text.content_hash(F.substring("text", 1, 40)).alias("text_hash"), F.substring(text.normalized(F.col("text")), 1, 120).alias("normalized_text"))
+    t = d.select(F.col("doc_id").alias("text_id"), text.content_hash(F.col("text")).alias("text_hash"), text.normalized(F.col("text")).alias("normalized_text"))
     rows = r.select("report_id", "source_id", "external_id", "latitude", "longitude", "district", "observed_at", "text_id").join(t, "text_id")
     return rows.join(e.select(F.col("vec_id").alias("v"), F.transform("embedding", lambda x: x.cast("double")).alias("e")), F.col("text_id") == F.col("v"), "left").withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s_, x: s_ + x * x))).withColumn("embedding", F.when(F.col("report_id") % 3 == 0, F.transform("e", lambda x: x / F.col("norm")))).drop("v", "e", "norm")
 
@@ -333,12 +333,12 @@ def dedupe_ordered(r: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
 
 @query("fx_reports", "documents", "embeddings")
 def semantic_pairs(r: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
-    return dedupe.top_semantic(dedupe.near_pairs(_dedupe_input(r, d, e)))
+    return dedupe.top_semantic(_dedupe_input(r, d, e))
 
 
 @query("fx_reports", "documents", "embeddings")
 def fuzzy_pairs(r: DataFrame, d: DataFrame, e: DataFrame) -> DataFrame:
-    return dedupe.fuzzy(dedupe.near_pairs(_dedupe_input(r, d, e)))
+    return dedupe.fuzzy(_dedupe_input(r, d, e))
 
 
 @query("fx_reports", "documents", "nation", "region")
@@ -346,7 +346,7 @@ def pipeline_enrich(r: DataFrame, d: DataFrame, n: DataFrame, re: DataFrame) ->
     """The whole chain over every raw report; the nations are cities, and the readings of the reports the weather."""
     cities, aliases = _cities(n, re)
     obs = r.where("precipitation_mm is not null").groupBy(F.concat(F.lit(""), F.element_at(F.array(F.lit("NATION_8"), F.lit("NATION_3"), F.lit("NATION_5")), (F.col("report_id") % 3 + 1).cast("int"))).alias("city"), F.date_trunc("hour", "observed_at").cast("timestamp_ntz").alias("time")).agg(*(F.max(c).alias(c) for c in ("precipitation_mm", "temperature_c", "wind_speed_kmh", "humidity_pct", "visibility_m")))
-    head = d.select(F.col("doc_id").alias("text_id"), F.substring("text", 1, 200).alias("head"))
+    head = d.select(F.col("doc_id").alias("text_id"), F.col("text").alias("head"))
     place = F.element_at(F.array(F.lit("Nation_8"), F.lit("NATION_3"), F.lit("Nowhere in Asia"), F.lit("?")), (F.col("report_id") % 4 + 1).cast("int"))
     raw = _raw(r.join(head, "text_id").withColumn("raw_text", F.concat("head", F.lit(" rain in "), place)).withColumn("latitude", F.when(F.col("report_id") % 2 == 0, F.col("latitude"))))
     got = intake.enrich(raw.drop("report_id"), cities, aliases, _gazetteer(re), obs)
