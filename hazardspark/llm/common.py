@@ -46,9 +46,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """A table of its own in the shared folder, compressed: for rows that hold texts."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    return stored_at(df, f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}")
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """df written to a path of the shared folder and read again; dropped() takes it away."""
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table that stored_at wrote."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

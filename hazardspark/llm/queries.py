@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
-from hazardspark.llm import chat_format, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity
+from hazardspark.llm import chat_format, collocations, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity
 
 
 def crc_mod(n: int, id: str = "doc_id"):
@@ -87,6 +87,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.examples(turns))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language, of all documents."""
+    return collocations.collocations(c.table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_topk": op2_topk,
@@ -98,6 +103,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op13_collocations": r"""
+with pieces as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
+words as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') w from pieces),
+f as (select lang, k, phrase, count(*) f from (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) phrase
+  from words, (values (1), (2), (3), (4), (5)) t(k) where len(w) >= k) group by all),
+n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+cand as (select *, string_split(phrase, ' ') w from f where k > 1 and f >= 100),
+inside as (select lang, phrase, max(f) longer from (select lang, f, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) phrase from cand where k > 2) group by all),
+kept as (select cand.* from cand left join inside using (lang, phrase) where longer is null or longer < f),
+cuts as (select lang, phrase, k, f, w, unnest(range(1, k)) head from kept),
+scored as (select c.lang, c.phrase, c.f a, x.f l, y.f r, n.n, c.head, ((1000::hugeint * c.f * n.n) // (x.f::hugeint * y.f))::bigint score from cuts c join n on c.lang = n.lang
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.head], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.head + 1:c.k], ' ')),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, head) = 1)
+select lang, rank, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from best) where rank <= 2000""",
+}
