@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
-from hazardspark.llm import chat_format, collocations, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity
+from hazardspark.llm import chat_format, collocations, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity, whitening
 
 
 def crc_mod(n: int, id: str = "doc_id"):
@@ -87,6 +87,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.examples(turns))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the 16 largest components; a deviation beyond 64 bits is null here, and exact in the operator."""
+    return whitening.whitened(c.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of each language, of all documents."""
     return collocations.collocations(c.table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
+    "op11_whitening": op11_whitening,
     "op13_collocations": op13_collocations,
 }
 
