@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardspark.llm import common as c
-from hazardspark.llm import chat_format, collocations, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, topk, toxicity, whitening
+from hazardspark.llm import chat_format, collocations, context_mixing, embedding_dedup, language_id, ngram_jaccard, packing, sentencepiece_lattice, substring_dedup, suffix_dedup, topk, toxicity, whitening
 
 
 def crc_mod(n: int, id: str = "doc_id"):
@@ -92,6 +92,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(c.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that start anywhere else, too."""
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(c.table(spark, sf_dir, "documents"), size=200))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best phrases of each language, of all documents."""
     return collocations.collocations(c.table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
@@ -109,10 +114,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
 
 ORACLE: dict[str, str] = {
+    "op12_suffix_dedup": r"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+sized as (select doc_id, h, length(h) // 2 n from docs),
+starts as (select doc_id, unnest(range(0, n - 199)) s, h from sized where n >= 200),
+win as (select doc_id, s, md5(substr(h, 2 * s + 1, 400)) w from starts),
+again as (select doc_id, s from win where w in (select w from win group by w having count(*) > 1)),
+marked as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 200 then 0 else 1 end fresh from again),
+runs as (select doc_id, g, min(s) a, max(s) + 200 b from (select *, sum(fresh) over (partition by doc_id order by s) g from marked) group by doc_id, g),
+cuts as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) before from runs),
+gone as (select doc_id, sum(b - a)::bigint removed, count(*) spans, max(b) last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) head from cuts join sized using (doc_id) group by doc_id)
+select d.doc_id, d.n n_bytes, coalesce(removed, 0) n_removed, coalesce(spans, 0) n_spans,
+  sha256(unhex(case when g.doc_id is null then h else head || substr(h, 2 * last + 1) end)) kept_sha256 from sized d left join gone g using (doc_id)""",
     "op13_collocations": r"""
 with pieces as (select coalesce(lang, 'und') lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) p from documents),
 words as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') w from pieces),
