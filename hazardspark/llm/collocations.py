@@ -129,6 +129,7 @@ def _scan(shard: DataFrame, u: int, cycle: int, longest: int, part: tuple[int, i
 
     def count(batches):
         before, after = (_lists(x.value, longest - 1) for x in (prefixes, suffixes))
+        last = max([0, *(k for k in range(2, longest + 1) if len(before[k - 2].keys) and len(after[k - 2].keys))])
 
         def flush(held):
             keys, start, k = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -150,10 +151,10 @@ def _scan(shard: DataFrame, u: int, cycle: int, longest: int, part: tuple[int, i
                 add(key, 0, 1)
                 for s, n in zip(g.salts.tolist(), g.many.tolist(), strict=True):
                     words[s] = words.get(s, 0) + n
-            for k in range(2, longest + 1):
+            for k in range(2, last + 1):
                 longer, fits = g.keys(k)
                 m = len(longer)
-                if not m or not len(before[k - 2].keys) or not len(after[k - 2].keys):
+                if not m:
                     break
                 a = before[k - 2].times(key[:m], fits)
                 b = after[k - 2].times(key[1:], fits & (a < NEVER))

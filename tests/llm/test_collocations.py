@@ -53,7 +53,7 @@ def test_every_phrase(spark, least, longest, shards, small, monkeypatch):
     rows = corpus(least)
     top = 15
     if small:  # lists in several parts, many flushes
-        monkeypatch.setattr(col, "LIST", 9)
+        monkeypatch.setattr(col, "LIST", 40)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
     if small:
         monkeypatch.setattr(col, "FLUSH", 50)
