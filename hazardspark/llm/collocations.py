@@ -215,7 +215,7 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = 4
     buckets = max(c.width(docs), math.ceil(letters / 6 / 1_000_000))
     tables = [whole.where(F.col("shard") == s).select("lang", "text") for s in range(shards)]
     state, old, u, last = None, [], 0, shards - 1
-    while u <= last:
+    while True:  # as long as something can be active in scan u
         many, late = 0, -1
         if state is not None:
             for row in state.select("reached").toLocalIterator():
@@ -224,8 +224,8 @@ def counted(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = 4
                 many += int(short.sum())
                 late = max(late, int(items["reach"][short].max(initial=-1)))
             last = max(last, late + shards)
-            if u > last:
-                break
+        if u > last:
+            break
         parts = max(1, math.ceil(many / LIST))
         found, sent = None, []
         for i in range(parts):

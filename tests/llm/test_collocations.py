@@ -48,7 +48,7 @@ def corpus(seed):
     return [*rows, rows[-1], rows[-1], (None, line, "en"), (None, line, "en")]
 
 
-@pytest.mark.parametrize(("least", "longest", "shards", "small"), [(5, 5, 4, False), (2, 3, 3, True), (20, 5, 1, False), (3, 4, 2, True)])
+@pytest.mark.parametrize(("least", "longest", "shards", "small"), [(5, 5, 4, False), (9, 3, 2, True), (20, 5, 1, False), (2, 4, 3, False)])
 def test_every_phrase(spark, least, longest, shards, small, monkeypatch):
     rows = corpus(least)
     top = 15
