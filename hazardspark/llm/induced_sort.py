@@ -7,7 +7,7 @@ upward, then the rising (S) ones downward. An induction is a priority queue of t
 it, length of the prefix shared with the tuple before it in its bucket). Its priority is (first byte, arrival), so it is a queue for each byte, each of which goes to
 disk beyond a bound. A tuple pops, and pushes the suffix one byte to its left. Prefix lengths travel along: the new one is one more than the least
 between the two tuples that pushed, and stops counting at `most`.
-Arrays that grow with the text are mapped files; what is in memory is a batch.
+Arrays that grow with the text are mapped files once they are large; what is in memory is a batch.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ ITEM = np.dtype([("pos", "<i8"), ("pre", "<u8"), ("left", "u1"), ("lcp", "u1")])
 BATCH = 1 << 18
 HELD = 64 << 20
 PART = 1 << 21
+SMALL = 8 << 20
 
 
 def scratch() -> tempfile.TemporaryDirectory:
@@ -39,7 +40,8 @@ class Folder:
         return os.path.join(self.path, str(self.n))
 
     def array(self, n: int, dtype) -> np.ndarray:
-        return np.memmap(self.name(), dtype=dtype, mode="w+", shape=(n,)) if n else np.empty(0, dtype)
+        """In memory below SMALL bytes, else on disk."""
+        return np.memmap(self.name(), dtype=dtype, mode="w+", shape=(n,)) if n * np.dtype(dtype).itemsize > SMALL else np.zeros(n, dtype)
 
 
 class Queues:

@@ -24,6 +24,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,11 @@ from hazardspark.llm import common as c
 from hazardspark.llm import induced_sort
 
 ANCHOR = np.dtype([("key", "<u8"), ("doc", "<i8"), ("part", "<u4"), ("start", "<u4"), ("many", "<u4"), ("times", "u1")])
+SEGMENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("part", "<u4"), ("start", "<u4"), ("weight", "<u4"), ("length", "<u4")])
 RUN = np.dtype([("doc", "<i8"), ("part", "<u4"), ("start", "<u4"), ("many", "<u4")])
 FLUSH = 400_000
 FLUSH_BYTES = 24 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 HOT_LEAST, HOT_MOST = 20_000, 1 << 20
 MOST = np.uint64(2**64 - 1)
 
@@ -157,6 +159,23 @@ def _texts(batches, rows: int = 500):
                 yield doc[lo:hi], part[lo:hi], texts[lo:hi]
 
 
+def squeezed(rows: DataFrame) -> DataFrame:
+    """rows with text as compressed bytes, for a shuffle; null stays null."""
+
+    names = rows.columns
+
+    def squeeze(batches):
+        tool = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for batch in c.slices(whole):
+                columns = {name: batch.column(name) for name in names}
+                columns["text"] = pa.array([None if t is None else tool.compress(t) for t in c.binary(batch.column("text"))], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    kinds = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(c.lean(squeeze), kinds)
+
+
 def _repeated_anchors(rows: DataFrame, anchors: Anchors, buckets: int, least: int) -> DataFrame:
     """(bucket, data, hot): segments whose anchor occurs again, by bucket of their document; in bucket -1 the anchors met more than least times."""
 
@@ -228,30 +247,28 @@ def _segments(marked: DataFrame, anchors: Anchors, hot, shards: int, buckets: in
     """Segments by shard of their anchor, and (shard -2 - bucket) runs of windows that this task's own rows repeat."""
 
     def cut(batches):
-        held, size = {}, 0
+        held, size, read = {}, 0, zstandard.ZstdDecompressor()
 
         def flush():
             known = [(o, n) for owners, n, _ in held.values() if len(owners) > 1 for o in owners]
             if known:
                 runs = np.array([(d, p, s, n) for (d, p, s), n in known], RUN)
-                yield told(runs)
-            keys = np.array([k for k, _ in held], dtype=np.uint64)
-            at = _bucket(keys, shards)
-            owner = [owners[0] if len(owners) == 1 else (0, 0, 0) for owners, _, _ in held.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), pa.array(keys.view(np.int64)), pa.array([d for _, _, d in held.values()], pa.binary()), pa.array([o[0] for o in owner], pa.int64()), pa.array([o[1] for o in owner], pa.int64()), pa.array([o[2] for o in owner], pa.int64()), pa.array([len(o) for o, _, _ in held.values()], pa.int64())],
-                names=["shard", "key", "data", "doc", "part", "start", "weight"],
-            )
-
-        def told(runs):
-            b = _packed(runs, -2 - _bucket(runs["doc"], buckets), "shard")
-            none = pa.array([0] * b.num_rows, pa.int64())
-            return pa.RecordBatch.from_arrays([b.column(0), none, b.column(1), none, none, none, none], names=["shard", "key", "data", "doc", "part", "start", "weight"])
+                yield _packed(runs, -2 - _bucket(runs["doc"], buckets), "shard")
+            items, texts = np.zeros(len(held), SEGMENT), []
+            for i, ((key, _), (owners, _, own)) in enumerate(held.items()):
+                items[i] = (key, *(owners[0] if len(owners) == 1 else (0, 0, 0)), len(owners), len(own))
+                texts.append(own)
+            at, tool = _bucket(items["key"], shards), zstandard.ZstdCompressor(level=3)
+            order = np.argsort(at, kind="stable")
+            cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+            for part in np.split(order, cut[1:]):
+                data = tool.compress(np.int64(len(part)).tobytes() + _columns(items[part]) + b"".join([texts[i] for i in part]))
+                yield pa.RecordBatch.from_arrays([pa.array([at[part[0]]], pa.int32()), pa.array([data], pa.binary())], names=["shard", "data"])
 
         for whole in batches:
             for batch in c.slices(whole, 100):
                 for doc, part, text, data in zip(batch.column("doc").to_pylist(), batch.column("part").to_pylist(), c.binary(batch.column("text")), batch.column("items").to_pylist(), strict=True):
-                    items = _items([data], ANCHOR)
+                    items, text = _items([data], ANCHOR), read.decompress(text)
                     for key, start, many in zip(items["key"].tolist(), items["start"].tolist(), items["many"].tolist(), strict=True):
                         piece = text[start : start + many + anchors.size - 1]
                         for k, s, n in anchors.second(piece, key) if key in hot.value else ((key, 0, many),):
@@ -266,7 +283,7 @@ def _segments(marked: DataFrame, anchors: Anchors, hot, shards: int, buckets: in
         if held:
             yield from flush()
 
-    return marked.mapInArrow(c.lean(cut), "shard int, key long, data binary, doc long, part long, start long, weight long")
+    return marked.mapInArrow(c.lean(cut), "shard int, data binary")
 
 
 def _sorted_shards(dealt: DataFrame, size: int, buckets: int) -> DataFrame:
@@ -274,25 +291,31 @@ def _sorted_shards(dealt: DataFrame, size: int, buckets: int) -> DataFrame:
 
     def sort(batches):
         with induced_sort.scratch() as path:
-            folder = induced_sort.Folder(path)
+            folder, read = induced_sort.Folder(path), zstandard.ZstdDecompressor()
             spool, seen, anchor = folder.name(), {}, {}
             where, owner = [], []  # of each text: offset, length, weight, key; of each owner: text, document, part, start
             with open(spool, "wb") as out:
                 for batch in batches:
                     yield from passed(batch)
-                    for shard, key, data, *own, weight in zip(*(batch.column(k).to_pylist() for k in ("shard", "key", "data", "doc", "part", "start", "weight")), strict=True):
+                    for shard, packed in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
                         if shard < 0:
                             continue
-                        mark = (key, hashlib.blake2b(data, digest_size=16).digest())
-                        at = seen.get(mark)
-                        if at is None:
-                            at = seen[mark] = len(where)
-                            where.append([out.tell(), len(data), 0, key])
-                            out.write(data)
-                            anchor[key] = anchor.get(key, 0) + 1
-                        where[at][2] += weight
-                        if weight == 1:
-                            owner.append((at, *own))
+                        plain = read.decompress(packed)
+                        n = int(np.frombuffer(plain, np.int64, 1)[0])
+                        at = 8 + n * SEGMENT.itemsize
+                        for key, doc, part, start, weight, length in _items([plain[8:at]], SEGMENT).tolist():
+                            data = plain[at : at + length]
+                            at += length
+                            mark = (key, hashlib.blake2b(data, digest_size=16).digest())
+                            own = seen.get(mark)
+                            if own is None:
+                                own = seen[mark] = len(where)
+                                where.append([out.tell(), length, 0, key])
+                                out.write(data)
+                                anchor[key] = anchor.get(key, 0) + 1
+                            where[own][2] += weight
+                            if weight == 1:
+                                owner.append((own, doc, part, start))
             if not where:
                 return
             seen.clear()
@@ -381,7 +404,7 @@ def repeated_spans(docs: DataFrame, size: int = 200) -> DataFrame:
     held = marks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     letters = held // ANCHOR.itemsize * (size * 3 // 2)
     shards = max(c.width(docs), math.ceil(letters / SHARD_BYTES))
-    marked = docs.join(_by_text(marks, ANCHOR), ["doc", "part"])
+    marked = squeezed(docs).join(_by_text(marks, ANCHOR), ["doc", "part"])
     dealt = _segments(marked, anchors, sent, shards, buckets).repartition(shards, "shard")
     return _by_text(_sorted_shards(dealt, size, buckets), RUN)
 
@@ -400,10 +423,11 @@ def suffix_dedup(docs: DataFrame, size: int = 200, id: str = "doc_id", text: str
     spans = repeated_spans(rows.select("doc", "part", "text"), size)
 
     def cut(batches):
+        read = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in c.slices(whole, 500):
                 n, spans_, kept = [], [], []
-                for t, data in zip(c.binary(batch.column("text")), batch.column("items").to_pylist(), strict=True):
+                for t, data in zip(map(read.decompress, c.binary(batch.column("text"))), batch.column("items").to_pylist(), strict=True):
                     runs = _items([data], RUN) if data else np.empty(0, RUN)
                     edge = np.zeros(len(t) + 1, dtype=np.int32)
                     np.add.at(edge, runs["start"].astype(np.int64), 1)
@@ -415,7 +439,7 @@ def suffix_dedup(docs: DataFrame, size: int = 200, id: str = "doc_id", text: str
                     kept.append(t if not len(runs) else np.frombuffer(t, np.uint8)[~gone].tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("own_id"), pa.array(n, pa.int64()), pa.array(spans_, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.join(spans, ["doc", "part"], "left").select("own_id", "text", "items").mapInArrow(c.lean(cut), f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    return squeezed(rows).join(spans, ["doc", "part"], "left").select("own_id", "text", "items").mapInArrow(c.lean(cut), f"doc_id {kind}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:

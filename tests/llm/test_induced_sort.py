@@ -35,6 +35,7 @@ def test_order_and_shared_prefixes(data, small, tmp_path, monkeypatch):
     if small:  # every queue goes to disk, and all is sorted in many parts
         monkeypatch.setattr(s, "BATCH", 7)
         monkeypatch.setattr(s, "PART", 16)
+        monkeypatch.setattr(s, "SMALL", 0)
     got = [(p.copy(), n.copy()) for p, n in s.suffixes(mapped(data), s.Folder(str(tmp_path)), 20, 200 if small else 0)]
     pos = np.concatenate([np.empty(0, np.int64), *[p for p, _ in got]]).tolist()
     lcp = np.concatenate([np.empty(0, np.int64), *[n for _, n in got]]).tolist()
