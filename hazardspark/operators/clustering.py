@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark import rules
+from hazardspark.operators import chains
 from hazardspark.operators.scoring import warning_level
+from hazardspark.storage import Scratch
 
 CELL = 0.5  # degrees: more than two radii of 15 km on both axes up to 57 degrees of latitude
 
@@ -144,26 +146,14 @@ def top_contributors(members: DataFrame, assessed: DataFrame, n: int = 6) -> Dat
     return by.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def within(hours: float) -> Callable:
-    """step(row) -> (report_id, original): a row copies the latest original of its key no older than so many hours, or is its own."""
-    original = [None, None]
-
-    def step(row):
-        if original[0] is not None and row.t - original[1] <= hours * 3600:
-            return row.report_id, original[0]
-        original[:] = [row.report_id, row.t]
-        return row.report_id, row.report_id
-
-    return step
-
-
 def hash_duplicates(rows: DataFrame, hours: float = 2) -> DataFrame:
-    """(report_id, duplicate_of): of rows(report_id, text_hash, t) each row is an original or copies an original of its hash within the hours before."""
-    # a hash's rows further apart than this never meet, so a hot text is cut by time where it pauses
-    w = Window.partitionBy("text_hash").orderBy("bucket")
-    rows = rows.where("text_hash is not null").withColumn("bucket", F.floor(F.col("t") / int(hours * 3600)))
-    busy = rows.select("text_hash", "bucket").distinct()
-    fresh = F.coalesce(F.col("bucket") - F.lag("bucket").over(w) > 1, F.lit(True))
-    runs = busy.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("long")).over(w)).drop("fresh")
-    out = fold(rows.join(runs, ["text_hash", "bucket"]), ["text_hash", "run"], ["t", "report_id"], "report_id long, original long", lambda: within(hours))
-    return out.select("report_id", F.nullif("original", "report_id").alias("duplicate_of"))
+    """(report_id, duplicate_of): of rows(report_id, text_hash, t in seconds) each row is an original or copies the original of its hash within the hours before."""
+    span = int(hours * 3600)
+    rows = rows.where("text_hash is not null")
+    with Scratch(rows.sparkSession) as scratch:
+        rows = scratch.stored(rows.select("report_id", "text_hash", F.col("t").cast("long").alias("t")))
+        stand = chains.orbits(rows.select(F.col("text_hash").alias("key"), "t", F.col("report_id").alias("id")), span, scratch)
+        originals = rows.join(stand.select(F.col("id").alias("report_id")), "report_id")
+        twins = rows.join(stand.select(F.col("id").alias("report_id")), "report_id", "left_anti")
+        found = chains.copies(twins, originals, ["text_hash"], span)
+        return scratch.kept(rows.select("report_id").join(found.select("report_id", F.col("target").alias("duplicate_of")), "report_id", "left"))

@@ -12,6 +12,7 @@ from hazardspark import rules
 from hazardspark.functions import text
 from hazardspark.operators import analytics as a
 from hazardspark.operators import browse as b
+from hazardspark import storage
 from hazardspark.operators import dedupe, evidence, geo, intake
 from hazardspark.operators import gazetteer as g
 from hazardspark.operators import lifecycle as lc
@@ -354,10 +355,7 @@ def pipeline_enrich(r: DataFrame, d: DataFrame, n: DataFrame, re: DataFrame) ->
 
 
 def _folder(spark) -> str:
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{own or '/tmp/checkpoints'}/lake-{uuid.uuid4().hex}"
+    return f"{storage.folder(spark)}/lake-{uuid.uuid4().hex}"
 
 
 def _lake(r: DataFrame, path: str) -> None:

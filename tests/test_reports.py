@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardspark import registry
-from hazardspark.operators import credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
+from hazardspark.operators import clustering, credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -170,3 +170,56 @@ def test_no_nested_loop(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin BuildRight, Inner, (" not in plan and "BroadcastNestedLoopJoin BuildLeft, Inner, (" not in plan
+
+
+def test_a_year_of_hourly_copies_in_few_rounds(spark, monkeypatch):
+    from hazardspark import storage
+
+    made, at = [], storage.Scratch._at
+    monkeypatch.setattr(storage.Scratch, "_at", lambda self, df, path: made.append(path) or at(self, df, path))
+    rows = spark.range(8760).select(F.col("id").alias("report_id"), F.lit("h").alias("text_hash"), (F.col("id") * 3600).alias("t"))
+    got = clustering.hash_duplicates(rows)
+    want, last = {}, None
+    for i in range(8760):
+        if last is None or i - last > 2:
+            last = i
+        want[i] = None if last == i else last
+    assert {r.report_id: r.duplicate_of for r in got.collect()} == want
+    assert len(made) < 20
+
+
+def _same(spark, rows):
+    df = spark.createDataFrame(rows, "report_id long, source_id int, external_id string, text_hash string, normalized_text string, latitude double, longitude double, district string, t long")
+    return df.withColumn("observed_at", F.timestamp_seconds(F.col("t") + 1_700_000_000)).drop("t")
+
+
+def test_empty_ids_match_nothing(spark):
+    rows = [(i, 1, e, f"h{i}", f"text number {i} " + "abcdefgh"[i] * 40, None, None, None, 86400 * i) for i, e in enumerate(["", "", " ", "x", "x"])]
+    assert {r.report_id: r.method for r in dedupe.ordered(_same(spark, rows)).collect()} == {4: "exact_external_id"}
+
+
+def test_batches_in_order_of_time_are_one_batch(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        body = rnd.choice(["heavy rain floods the old market road", "strong wind near the bridge", f"report {i} of the day " + "".join(rnd.choices("abcdefgh", k=30))])
+        rows.append((i, rnd.choice([1, 2]), rnd.choice(["", f"e{i}", f"e{i % 7}"]), f"h{body}", body + rnd.choice(["", "", "!"]), 10.0, 70.0, None, 600 * i))
+    df = _same(spark, rows)
+    want = {(r.report_id, r.target, r.method) for r in dedupe.ordered(df).collect()}
+    got = set()
+    for part in range(3):
+        now = df.where(F.col("report_id").between(part * 20, part * 20 + 19))
+        before = df.where(F.col("report_id") < part * 20)
+        copied = spark.createDataFrame([(i,) for i, _, _ in got] or [(-1,)], "report_id long")
+        got |= {(r.report_id, r.target, r.method) for r in dedupe.ordered(now, earlier=before.join(copied, "report_id", "left_anti")).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_no_alignment_matches_more_than_the_common_subsequence():
+    rnd = random.Random(5)
+    for _ in range(60):
+        a = "".join(rnd.choices("abc é", k=rnd.randrange(1, 60)))
+        b = "".join(x for x in a if rnd.random() < 0.8) + "".join(rnd.choices("abcd", k=rnd.randrange(20)))
+        matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+        assert matched <= dedupe.in_common(a, b) <= min(len(a), len(b))
+    assert dedupe.in_common("abcde", "xaxcxe") == 3
