@@ -106,6 +106,7 @@ def greedy(radius_m: float, seconds: int) -> Callable:
         events.append([row.report_id, row.latitude, row.longitude, 1, row.t])
         return row.report_id, row.report_id, 1, 0.0
 
+    step.events = events  # open ones, for callers that keep them elsewhere between rows
     return step
 
 
