@@ -53,11 +53,17 @@ class Grams:
         raw = np.frombuffer(self.w.raw, dtype=np.uint8)
         many = np.diff(self.w.first)
         self.doc = np.repeat(np.arange(len(texts)), many)
-        self.salts = np.array([salt(x) for x in langs], dtype=np.uint64)
+        known = {x: salt(x) for x in set(langs)}
+        self.salts = np.array([known[x] for x in langs], dtype=np.uint64)
         self.salt, self.many = self.salts[self.doc], many
-        stop = np.zeros(len(raw) + 1, dtype=np.int32)
-        np.cumsum(PIECE[raw], out=stop[1:])
-        self.piece = stop[self.w.start] + self.doc  # grows from text to text, too
+        start, end = self.w.start, self.w.end
+        cut = np.ones(len(start), dtype=bool)  # a word begins a piece if a mark is in the gap before it
+        cut[1:] = PIECE[raw[end[:-1]]] | PIECE[raw[start[1:] - 1]]
+        wide = np.flatnonzero(~cut[1:] & (start[1:] - end[:-1] > 2)) + 1
+        if len(wide):
+            marks = np.flatnonzero(PIECE[raw])
+            cut[wide] = np.searchsorted(marks, start[wide]) > np.searchsorted(marks, end[wide - 1])
+        self.piece = np.cumsum(cut) + self.doc  # grows from text to text, too
 
     def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The key of the k words from each place that has so many, and whether they are in one piece."""
@@ -115,7 +121,7 @@ def _rows(items: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 def _summed(items: np.ndarray) -> np.ndarray:
     """One item a key: counts added, the earliest time of reaching kept; start and k are the same for all of a key."""
-    items = items[np.argsort(items["key"], kind="stable")]
+    items = items[np.argsort(items["key"])]
     first = np.flatnonzero(np.diff(items["key"], prepend=~items["key"][:1]) != 0) if len(items) else np.empty(0, np.int64)
     out = items[first].copy()
     if len(items):
@@ -129,40 +135,42 @@ def _scan(shard: DataFrame, u: int, cycle: int, longest: int, part: tuple[int, i
 
     def count(batches):
         before, after = (_lists(x.value, longest - 1) for x in (prefixes, suffixes))
-        last = max([0, *(k for k in range(2, longest + 1) if len(before[k - 2].keys) and len(after[k - 2].keys))])
+        late = lambda x: x.at.max(initial=-1) >= u - cycle
+        levels = [k for k in range(2, longest + 1) if late(before[k - 2]) or late(after[k - 2])]  # else nothing is active there
 
         def flush(held):
-            keys, start, k = (np.concatenate(x) for x in zip(*held, strict=True))
-            keys, first, many = np.unique(keys, return_index=True, return_counts=True)
-            out = np.zeros(len(keys), ITEM)
-            out["key"], out["count"], out["start"], out["k"], out["reach"] = keys, many, start[first], k[first], NEVER
-            return _rows(out, buckets)
-
-        held, size, words = [], 0, {}
+            out = []
+            for (k, start), keys in held.items():
+                keys = np.sort(np.concatenate(keys))  # plain keys sort much faster than with their places
+                first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+                own = np.zeros(len(first), ITEM)
+                own["key"], own["count"], own["start"], own["k"], own["reach"] = keys[first], np.diff(np.append(first, len(keys))), start, k, NEVER
+                out.append(own)
+            out = np.concatenate(out)
+            return _rows(out[np.argsort(out["key"])], buckets)
+
+        held, size, words = {}, 0, {}
 
         def add(keys, start, k):
             nonlocal size
-            held.append((keys, np.broadcast_to(np.int32(start), keys.shape), np.full(len(keys), k, np.uint8)))
-            size += len(keys)
+            if len(keys):
+                held.setdefault((k, start), []).append(keys)
+                size += len(keys)
 
         for g in _chunks(batches):
-            key, whole = g.keys(1)
             if u < cycle and part == (0, 0):
-                add(key, 0, 1)
+                add(g.keys(1)[0], 0, 1)
                 for s, n in zip(g.salts.tolist(), g.many.tolist(), strict=True):
                     words[s] = words.get(s, 0) + n
-            for k in range(2, last + 1):
-                longer, fits = g.keys(k)
-                m = len(longer)
-                if not m:
+            for k in levels:
+                (key, _), (longer, fits) = g.keys(k - 1), g.keys(k)
+                if not (m := len(longer)):
                     break
                 a = before[k - 2].times(key[:m], fits)
                 b = after[k - 2].times(key[1:], fits & (a < NEVER))
                 start = np.maximum(a, b) + 1
-                active = np.flatnonzero((start <= u) & (u < start + cycle))
-                if len(active):
-                    add(longer[active], start[active], k)
-                key = longer
+                for s in range(max(1, u - cycle + 1), u + 1):
+                    add(longer[start == s], s, k)
             if size > FLUSH:
                 yield flush(held)
                 held.clear()
