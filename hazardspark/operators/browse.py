@@ -46,8 +46,9 @@ def tagged(df: DataFrame, tag: str, hashtags: str = "hashtags") -> DataFrame:
 
 
 def in_box(df: DataFrame, south: float | None = None, west: float | None = None, north: float | None = None, east: float | None = None) -> DataFrame:
-    """Located rows; within the box only where all four edges are given."""
-    rows = df.where("latitude is not null and longitude is not null")
+    """Located rows, whose coordinates are finite; within the box only where all four edges are given."""
+    finite = lambda c: F.coalesce((F.abs(F.col(c)) < float("inf")) & ~F.isnan(c), F.lit(False))
+    rows = df.where(finite("latitude") & finite("longitude"))
     if None in (south, west, north, east):
         return rows
     return rows.where(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))

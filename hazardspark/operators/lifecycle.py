@@ -101,15 +101,20 @@ def apply_alert_actions(alerts: DataFrame, actions: DataFrame) -> tuple[DataFram
     return now, met.where("why is not null").select("alert_id", "action", "at", "why"), audit
 
 
-def apply_changes(dim: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(dim, audit): null in changes leaves a field; the audit has a row for each field that really changed. One change a key."""
-    new = changes.select(key, *(F.col(f).alias(f"new_{f}") for f in fields))
-    met = dim.join(new, key, "left")
-    differs = lambda f: F.col(f"new_{f}").isNotNull() & ~F.col(f).eqNullSafe(F.col(f"new_{f}"))
-    rows = F.array_compact(F.array(*[F.when(differs(f), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("old"), F.col(f"new_{f}").cast("string").alias("new"))) for f in fields]))
-    audit = met.select(key, F.explode(rows).alias("x")).select(key, "x.field", "x.old", "x.new")
-    now = met.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in dim.columns))
-    return now, audit
+def apply_changes(dim: DataFrame, changes: DataFrame, key: str, fields: list[str], at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(dim, audit): null in changes leaves a field; the audit has a row for each field that a change really changed. Unknown keys are left out.
+
+    Several changes of a key are taken in the order of the column at, ties and a missing column in the order of their values; the last one stays.
+    """
+    order = F.lit(0) if at is None else F.col(at)
+    asked = changes.select(key, order.alias("_at"), F.inline(F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("new"))) for f in fields]))))
+    held = dim.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("held")) for f in fields])))
+    w = Window.partitionBy(key, "field").orderBy("_at", "new")
+    told = asked.join(held, [key, "field"]).withColumn("old", F.when(F.row_number().over(w) == 1, F.col("held")).otherwise(F.lag("new").over(w)))
+    audit = told.where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "field", "old", "new")
+    last = changes.groupBy(key).agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(order.alias("at"), F.col(f).cast("string").alias("value")))).alias(f"new_{f}") for f in fields))
+    met = dim.join(last, key, "left")
+    return met.select(*(F.coalesce(f"new_{c}", c).alias(c) if c in fields else F.col(c) for c in dim.columns)), audit
 
 
 def resolve_stale(events: DataFrame, as_of: str, hours: int = rules.STALE_HOURS) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardspark import registry
-from hazardspark.operators import clustering, credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
+from hazardspark.operators import browse, clustering, credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -223,3 +223,29 @@ def test_no_alignment_matches_more_than_the_common_subsequence():
         matched = sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
         assert matched <= dedupe.in_common(a, b) <= min(len(a), len(b))
     assert dedupe.in_common("abcde", "xaxcxe") == 3
+
+
+def test_several_changes_of_a_key_fold_in_order(spark):
+    dim = spark.createDataFrame([(1, "LOW", 5), (2, None, 6)], "k long, level string, n int")
+    asked = [(1, "HIGH", None, 2), (1, "MID", None, 1), (1, None, 5, 3), (2, "LOW", 7, 1), (2, "LOW", None, 2), (9, "X", 1, 1)]
+    now, audit = lifecycle.apply_changes(dim, spark.createDataFrame(asked, "k long, level string, n int, at int"), "k", ["level", "n"], at="at")
+    assert sorted(map(tuple, now.collect())) == [(1, "HIGH", 5), (2, "LOW", 7)]
+    assert sorted(map(tuple, audit.collect()), key=str) == sorted([(1, "level", "LOW", "MID"), (1, "level", "MID", "HIGH"), (2, "level", None, "LOW"), (2, "n", "6", "7")], key=str)
+
+
+def test_box_takes_finite_places_only(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (2, nan, 2.0), (3, 1.0, inf), (4, None, 1.0), (5, -inf, nan)], "id long, latitude double, longitude double")
+    assert [r.id for r in browse.in_box(rows).collect()] == [1] == [r.id for r in browse.in_box(rows, 0, 0, 5, 5).collect()]
+
+
+def test_times_without_a_zone_are_utc_in_any_session(spark):
+    texts = ["2026-09-01T20:00:00", "2026-09-01T20:00:00Z", "2026-09-01 22:00:00+02:00", "2026-09-01", "soon", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        got = rows.select("i", F.unix_seconds(intake.observed_at(F.col("t"), F.timestamp_seconds(F.lit(7)))).alias("s")).orderBy("i").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [r.s for r in got] == [1788292800, 1788292800, 1788292800, 1788220800, 7, 7]
