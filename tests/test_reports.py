@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardspark import registry
-from hazardspark.operators import browse, clustering, credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
+from hazardspark.operators import analytics, browse, clustering, credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -249,3 +249,15 @@ def test_times_without_a_zone_are_utc_in_any_session(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert [r.s for r in got] == [1788292800, 1788292800, 1788292800, 1788220800, 7, 7]
+
+
+def test_exact_quantiles_by_selection(spark):
+    import numpy as np
+
+    rnd = random.Random(9)
+    cases = [[rnd.gauss(0, 1) for _ in range(400)], [1.0] * 300 + [2.0], [5.0], [float(i % 3) for i in range(200)]]
+    for values in cases:
+        df = spark.createDataFrame([(x,) for x in [*values, None, float("nan"), float("inf")]], "x double")
+        n, got = analytics.exact_quantiles(df, F.col("x"), [0.0, 0.5, 0.9], few=30, buckets=16)
+        assert n == len(values) and np.allclose(got, np.quantile(values, [0.0, 0.5, 0.9]), rtol=1e-12, atol=0)
+    assert analytics.exact_quantiles(spark.createDataFrame([], "x double"), F.col("x"), [0.5]) == (0, [None])
