@@ -75,7 +75,7 @@ def bands(radius_m: float) -> float:
     return radius_m / 111_000 * 1.01
 
 
-def _across(band: Column, step: float) -> Column:
+def across(band: Column, step: float) -> Column:
     """Cells of a band: each as wide as the radius where the band, and the band beside it, is narrowest."""
     edge = F.least((F.abs(band + 0.5) + 1.5) * step, F.lit(90.0))
     return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / step), F.lit(1)).cast("long")
@@ -85,7 +85,7 @@ def cell(lat: Column, lon: Column, radius_m: float) -> Column:
     """The (band, cell) of a point."""
     step = bands(radius_m)
     band = F.floor(lat / step)
-    n = _across(band, step)
+    n = across(band, step)
     return F.struct(band.alias("cy"), F.pmod(F.floor((lon + 180) / 360 * n), n).alias("cx"))
 
 
@@ -95,7 +95,7 @@ def cells_around(lat: Column, lon: Column, radius_m: float) -> Column:
 
     def of(dy):
         band = F.floor(lat / step) + dy
-        n = _across(band, step)
+        n = across(band, step)
         return F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda dx: F.struct(band.alias("cy"), F.pmod(F.floor((lon + 180) / 360 * n) + dx, n).alias("cx")))
 
     return F.array_distinct(F.concat(of(-1), of(0), of(1)))

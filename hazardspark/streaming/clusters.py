@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hazardspark import rules
-from hazardspark.operators.clustering import greedy
+from hazardspark.operators.clustering import greedy, located
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MEMBERS = "report_id long, event_id long, seq int, distance_m double"
@@ -58,11 +58,11 @@ def clusters(reports: DataFrame, radius_m: float = rules.CLUSTER_RADIUS_M, minut
     """(report_id, event_id, seq, distance_m) of located originals of a stream, as cluster() gives for a table.
 
     A report is told once the watermark, `late` behind the latest report, has passed it; reports that come later than
-    that are left out. area: parts of the map that share no event, so that a type isn't one key; reports without a type, place or time are left out.
+    that are left out. area: parts of the map that share no event, so that a type isn't one key; reports without a type, a finite place or a time are left out.
     State holds what waits and the open events; both follow the rate of reports, not the length of the stream. Needs the RocksDB state store, which is set here.
     """
     reports.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    rows = reports.where("latitude is not null and longitude is not null and duplicate_of_report_id is null and observed_at is not null and predicted_event_type is not null").select(
+    rows = located(reports).select(
         F.col("predicted_event_type").alias("kind"), (F.lit("") if area is None else area.cast("string")).alias("area"), "report_id", "latitude", "longitude", "observed_at", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("t")
     )
     return rows.withWatermark("observed_at", late).groupBy("kind", "area").transformWithState(_Clusters(radius_m, minutes * 60), MEMBERS, "Append", "EventTime")

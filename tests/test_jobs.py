@@ -1,7 +1,9 @@
 """Folds against a plain loop over all rows, lake round trip, streams against batches."""
 
 import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hazardspark import fixtures
@@ -18,13 +20,12 @@ def metres(a, b):
     return 2 * 6371008.8 * math.asin(math.sqrt(min(h, 1)))
 
 
-def test_clusters(spark):
-    reports = fixtures.view(spark, SF, "fx_reports")
-    rows = reports.where("latitude is not null and duplicate_of_report_id is null").select("report_id", "predicted_event_type", "latitude", "longitude", "observed_at").collect()
+def walked(rows, radius_m=15000, seconds=5400):
+    """Event of each report by one walk over all rows."""
     events, want = [], {}
     for r in sorted(rows, key=lambda r: (r.observed_at, r.report_id)):
-        near = [(metres((e["lat"], e["lon"]), (r.latitude, r.longitude)), e["id"], e) for e in events if e["kind"] == r.predicted_event_type and (r.observed_at - e["last"]).total_seconds() <= 5400]
-        near = [x for x in near if x[0] <= 15000]
+        near = [(metres((e["lat"], e["lon"]), (r.latitude, r.longitude)), e["id"], e) for e in events if e["kind"] == r.predicted_event_type and (r.observed_at - e["last"]).total_seconds() <= seconds]
+        near = [x for x in near if x[0] <= radius_m]
         if near:
             e = min(near, key=lambda x: x[:2])[2]
             e["lat"], e["lon"] = round((e["lat"] * e["n"] + r.latitude) / (e["n"] + 1), 6), round((e["lon"] * e["n"] + r.longitude) / (e["n"] + 1), 6)
@@ -33,10 +34,59 @@ def test_clusters(spark):
             e = {"id": r.report_id, "kind": r.predicted_event_type, "lat": r.latitude, "lon": r.longitude, "n": 1, "last": r.observed_at}
             events.append(e)
         want[r.report_id] = e["id"]
+    return want
+
+
+def test_clusters(spark):
+    reports = fixtures.view(spark, SF, "fx_reports")
+    want = walked(reports.where("latitude is not null and duplicate_of_report_id is null").select("report_id", "predicted_event_type", "latitude", "longitude", "observed_at").collect())
     got = {r.report_id: r.event_id for r in clustering.cluster(reports).collect()}
     assert got == want and len(set(want.values())) < len(want)
 
 
+def _busy(spark, n, spread, step, seed=4):
+    """Reports of two types in an area without a pause; every 40 of them share a second."""
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice(["FLOOD", "FOG"]), 10 + rnd.random() * spread, 70 + rnd.random() * spread, None, 1_700_000_000 + (i if i % 400 >= 40 else i - i % 400) * step) for i in range(n)]
+    rows += [(n, "FLOOD", float("nan"), 70.0, None, 1_700_000_000), (n + 1, "FLOOD", 10.0, None, None, 1_700_000_000), (n + 2, "FLOOD", 10.0, 70.0, 1, 1_700_000_000)]
+    schema = "report_id long, predicted_event_type string, latitude double, longitude double, duplicate_of_report_id long, observed_at long"
+    return spark.createDataFrame(rows, schema).withColumn("observed_at", F.timestamp_seconds("observed_at"))
+
+
+@pytest.mark.parametrize("spread, step, most", [(1.5, 40, 60), (0.3, 300, 40)])
+def test_clusters_cut_in_time(spark, spread, step, most):
+    """Long sessions in slabs: events that turn over, and some that live through many slabs, so that starts are handed on one by one."""
+    reports = _busy(spark, 450, spread, step)
+    want = walked(reports.where("report_id < 450").collect())
+    got = clustering.cluster(reports, most=most).collect()
+    assert {r.report_id: r.event_id for r in got} == want and len(got) == len(want) == 450
+    assert {tuple(r) for r in got} == {tuple(r) for r in clustering.cluster(reports).collect()}
+
+
+def test_slabs_are_small(spark):
+    rows, slabs = clustering.safe_groups(_busy(spark, 900, 0.3, 30).where("report_id < 900").selectExpr("report_id", "predicted_event_type kind", "latitude", "longitude", "unix_seconds(observed_at) t"), most=60)
+    sizes = rows.groupBy("kind", "area", "session", "slab").count().collect()
+    assert max(r["count"] for r in sizes) <= 60 + 40 and len(sizes) == slabs.count() > 8
+    assert rows.count() == 900 and {r.slab for r in sizes} == set(range(max(r.slab for r in sizes) + 1))
+
+
+def test_clusters_anywhere(spark):
+    """A wide radius, high latitudes, and both sides of the 180th meridian."""
+    place = [(70.0, 10.0), (70.0, 10.9), (-17.0, 179.97), (-17.0, -179.97), (-17.0, 179.99), (89.99, 0.0), (89.99, 180.0)]
+    rows = [(i, "FOG", y, x, None, 1_700_000_000 + i) for i, (y, x) in enumerate(place)]
+    schema = "report_id long, predicted_event_type string, latitude double, longitude double, duplicate_of_report_id long, observed_at long"
+    reports = spark.createDataFrame(rows, schema).withColumn("observed_at", F.timestamp_seconds("observed_at"))
+    assert {r.report_id: r.event_id for r in clustering.cluster(reports).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5}
+    assert {r.report_id: r.event_id for r in clustering.cluster(reports, radius_m=40_000).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 5}
+    far = [(i, "FOG", 10.0, 70 + x, None, 1_700_000_000 + i) for i, x in enumerate([0.0, 1.7, 0.9])]
+    reports = spark.createDataFrame(far, schema).withColumn("observed_at", F.timestamp_seconds("observed_at"))
+    assert {r.report_id: r.event_id for r in clustering.cluster(reports, radius_m=100_000).collect()} == walked(reports.collect(), 100_000)
+
+
+def test_no_clusters(spark):
+    assert clustering.cluster(_busy(spark, 3, 1.0, 1).where("false")).collect() == []
+
+
 def test_hash_duplicates(spark):
     rows = [(i, "ab"[i % 7 == 0], i * 1500 + (i % 5) * 3000) for i in range(60)] + [(100, "c", 5), (101, None, 5)]
     want, originals = {}, []
