@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardspark import rules
-from hazardspark.operators.scoring import rank_of, route
+from hazardspark.operators.scoring import rank_of, route, warning_level
 
 OPEN = ["DETECTED", "CORROBORATING", "NEEDS_REVIEW"]
 DECISIONS = {"VERIFY": "VERIFIED", "REJECT": "REJECTED", "RESOLVE": "RESOLVED"}
@@ -60,10 +60,60 @@ def bulletins(events: DataFrame, as_of: str | None = None, issuer: str = "this s
     return got.withColumn("text", F.array_join(F.array(*lines), "\n"))
 
 
+def warning_reasons(events: DataFrame) -> DataFrame:
+    """warning_level() with reasons, an array of texts in the order in which they were found, and capped_by, null where nothing held the level down."""
+    got = warning_level(events)
+    said = lambda wording, *x: F.format_string(wording, *x)
+    name, reports, sources, evidence = F.lit("GREEN"), F.col("report_count"), F.col("source_count"), F.coalesce("evidence_score", F.lit(0.0))
+    for step, least_reports, least_sources, least in reversed(rules.WARNING_STEPS):
+        name = F.when((reports >= least_reports) & (sources >= least_sources) & (evidence >= least), step).otherwise(name)
+    why = F.when(name.isin("RED", "ORANGE"), said(rules.REASON_COUNTS, reports, sources, percent(evidence))).when(name == "YELLOW", said(rules.REASON_SOURCES, sources)).otherwise(rules.REASON_NONE)
+    held = F.when(F.col("capped"), "YELLOW").otherwise(name)  # what verification then found
+    lifted = F.when((F.col("status") == "VERIFIED") & held.isin("GREEN", "YELLOW"), rules.REASON_VERIFIED)
+    agrees = F.when(F.col("corroboration_score") >= rules.AGREEMENT, said(rules.REASON_AGREES, percent(F.col("corroboration_score"))))
+    shut = F.col("status").isin("REJECTED", "RESOLVED")
+    reasons = F.when(shut, F.array(said(rules.REASON_SHUT, F.lower("status")))).otherwise(F.array_compact(F.array(why, lifted, agrees)))
+    return got.withColumn("reasons", reasons).withColumn("capped_by", F.when(F.col("capped"), rules.REASON_CAP))
+
+
 def snapshot(as_of: str) -> Column:
-    """The evidence that justified an alert, as it was at as_of."""
+    """The evidence that justified an alert, as it was at as_of; of events with warning_reasons()."""
     score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c)
-    return F.struct("report_count", "source_count", score("evidence_score"), score("corroboration_score"), "flagged_report_count", "severity", "status", F.lit(as_of).alias("frozen_at"))
+    return F.struct("report_count", "source_count", score("evidence_score"), score("corroboration_score"), "flagged_report_count", "severity", "status", F.col("reasons").alias("warning_reasons"), F.lit(as_of).cast("timestamp_ntz").alias("frozen_at"))
+
+
+def evaluate_alerts(alerts: DataFrame, events: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(alerts, changes) after events were looked at again: raised, escalated in place or closed; a second run on its own result changes nothing.
+
+    An event's live alert is its latest ACTIVE or ACKNOWLEDGED one. Below ORANGE it is closed with the reason; above its level it keeps its id, gets the new
+    level, action and snapshot, and is ACTIVE again with nobody's acknowledgement; at or below its level it stays. Without a live alert ORANGE or more raises a
+    new one, whose id is a hash of event and time. changes(event_id, alert_id, change, level, previous): RAISE and ESCALATE are what routing takes up. Events without an alert and below ORANGE, and alerts of unknown events, stay as they are.
+    alerts: alert_id long, event_id, level, status, raised_at; what else an alert has (below) is null where the table lacks it, and other columns are kept.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    seen = warning_reasons(events)
+    seen = seen.select("event_id", F.col("warning_level").alias("to"), F.col("status").alias("event_status"), snapshot(as_of).alias("new_snapshot"), *(F.col(c).alias(f"new_{c}") for c in ("event_type", "state", "district")), headline().alias("new_headline"))
+    fields = {"previous_level": "string", "action": "string", "evidence_snapshot": seen.schema["new_snapshot"].dataType, "escalated_at": "timestamp_ntz", "acknowledged_at": "timestamp_ntz", "acknowledged_by": "string", "closed_at": "timestamp_ntz", "closed_reason": "string", "headline": "string"}
+    alerts = alerts.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in fields.items() if c not in alerts.columns))
+    latest = F.max_by(F.struct("alert_id", "level"), F.struct("raised_at", (-F.col("alert_id")).alias("first")))
+    live = alerts.where("status in ('ACTIVE', 'ACKNOWLEDGED')").groupBy("event_id").agg(latest.alias("held")).select("event_id", "held.*")
+    met = seen.join(live, "event_id", "left")
+    rank, held = rank_of(F.col("to"), rules.WARNING_LEVELS), rank_of(F.col("level"), rules.WARNING_LEVELS)
+    change = F.when((rank < 2) & F.col("level").isNotNull(), "CLOSE").when((rank >= 2) & F.col("level").isNull(), "RAISE").when((rank >= 2) & (rank > held), "ESCALATE")
+    met = met.withColumn("change", change).where("change is not null")
+    reason = F.when(F.col("event_status").isin("REJECTED", "RESOLVED"), F.format_string(rules.REASON_SHUT, F.lower("event_status"))).otherwise(F.format_string(rules.REASON_CALMER, F.col("to")))
+    met = met.withColumn("reason", F.when(F.col("change") == "CLOSE", reason)).withColumn("alert_id", F.coalesce("alert_id", F.xxhash64("event_id", F.lit(as_of)))).withColumnRenamed("level", "previous")
+    up, shut = F.col("change") == "ESCALATE", F.col("change") == "CLOSE"
+    new = {
+        "status": F.when(up, "ACTIVE").when(shut, "CLOSED"), "level": F.when(up, F.col("to")), "previous_level": F.when(up, F.col("level")), "action": F.when(up, _words(rules.ACTIONS, "to")), "evidence_snapshot": F.when(up, F.col("new_snapshot")),
+        "escalated_at": F.when(up, now), "closed_at": F.when(shut, now), "closed_reason": F.col("reason"),
+    }
+    again = up & (F.col("status") == "ACKNOWLEDGED")
+    kept = lambda c: F.when(F.coalesce(again, F.lit(False)), None).otherwise(F.col(c)) if c.startswith("acknowledged") else F.coalesce(new[c], c) if c in new else F.col(c)
+    changed = alerts.join(met.where("change <> 'RAISE'").select("alert_id", "change", "to", "new_snapshot", "reason"), "alert_id", "left").select(*(kept(c).alias(c) for c in alerts.columns))
+    first = {"alert_id": F.col("alert_id"), "event_id": F.col("event_id"), "level": F.col("to"), "status": F.lit("ACTIVE"), "raised_at": now, "action": _words(rules.ACTIONS, "to"), "evidence_snapshot": F.col("new_snapshot"), "headline": F.col("new_headline"), "event_type": F.col("new_event_type"), "state": F.col("new_state"), "district": F.col("new_district")}
+    raised = met.where("change = 'RAISE'").select(*(first.get(c, F.lit(None)).cast(alerts.schema[c].dataType).alias(c) for c in alerts.columns))
+    return changed.unionByName(raised), met.select("event_id", "alert_id", "change", F.col("to").alias("level"), "previous", "reason")
 
 
 def apply_verdicts(events: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

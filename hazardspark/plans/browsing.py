@@ -13,7 +13,7 @@ from hazardspark.functions import text
 from hazardspark.operators import analytics as a
 from hazardspark.operators import browse as b
 from hazardspark import storage
-from hazardspark.operators import dedupe, evidence, geo, intake
+from hazardspark.operators import dedupe, embedder, evidence, geo, intake
 from hazardspark.operators import gazetteer as g
 from hazardspark.operators import lifecycle as lc
 from hazardspark.operators import scoring as s
@@ -354,6 +354,13 @@ def pipeline_enrich(r: DataFrame, d: DataFrame, n: DataFrame, re: DataFrame) ->
     return got.select("raw_event_id", "city", "method", "predicted_event_type", F.col("corroboration.status").alias("status"), "duplicate_of_report_id", "duplicate_method", "nearby", "reliability_score", F.array_join("flags", ",").alias("flags"), "risk", "needs_review")
 
 
+@query("documents")
+def embed_documents(d: DataFrame) -> DataFrame:
+    """Every document's vector by a model learned from all of them."""
+    rows = d.select("doc_id", "text")
+    return embedder.embed(rows, embedder.learned(embedder.fit(rows))).select("doc_id", F.size("embedding").alias("size"), "embedding")
+
+
 def _folder(spark) -> str:
     return f"{storage.folder(spark)}/lake-{uuid.uuid4().hex}"
 

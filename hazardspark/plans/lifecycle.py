@@ -161,3 +161,34 @@ def backfill_warning(e: DataFrame) -> DataFrame:
 def dimension_load(new: DataFrame, known: DataFrame) -> DataFrame:
     """Names a load would insert where the active ones are there already."""
     return new.join(known.where("status = 'ACTIVE'").select("name"), "name", "left_anti").select("name")
+
+
+_LEVELS = f"""w AS (SELECT *, status IN ('REJECTED', 'RESOLVED') AS shut, CASE WHEN report_count >= 25 AND source_count >= 4 AND evidence_score >= 0.62 THEN 3 WHEN report_count >= 10 AND source_count >= 3 AND evidence_score >= 0.5 THEN 2 WHEN source_count >= 2 AND evidence_score >= 0.38 THEN 1 ELSE 0 END AS l0, flagged_report_count / report_count >= 0.5 AS much FROM fx_incidents),
+x AS (SELECT *, CASE WHEN much AND l0 > 1 THEN 1 ELSE l0 END AS l1 FROM w),
+y AS (SELECT *, CASE WHEN shut THEN 0 WHEN status = 'VERIFIED' THEN greatest(l1, 2) ELSE l1 END AS l2 FROM x)"""
+_LEVEL = "['GREEN', 'YELLOW', 'ORANGE', 'RED'][CAST(l2 AS INTEGER) + 1]"
+
+
+@query("fx_incidents", sql=f"""WITH {_LEVELS} SELECT event_id, {_LEVEL} AS warning_level, CASE WHEN shut THEN 'event ' || lower(status) || ' by review' ELSE
+CASE WHEN l0 >= 2 THEN report_count || ' reports from ' || source_count || ' independent sources, evidence ' || {_SHARE('evidence_score')} WHEN l0 = 1 THEN source_count || ' independent sources corroborating' ELSE 'insufficient independent corroboration' END
+|| CASE WHEN status = 'VERIFIED' AND l1 < 2 THEN '; verified by a human reviewer' ELSE '' END || CASE WHEN corroboration_score >= 0.6 THEN '; observed weather agrees (' || {_SHARE('corroboration_score')} || ')' ELSE '' END END AS reasons,
+CASE WHEN much AND l0 > 1 AND NOT shut THEN 'most contributing reports flagged for credibility' END AS capped_by FROM y""")
+def warning_reasons(e: DataFrame) -> DataFrame:
+    return lc.warning_reasons(e).select("event_id", "warning_level", F.array_join("reasons", "; ").alias("reasons"), "capped_by")
+
+
+_EVALUATED = f"""WITH {_LEVELS}, h AS (SELECT a.alert_id, a.event_id, a.level, a.status FROM fx_alerts a WHERE a.status <> 'CLOSED'),
+m AS (SELECT y.event_id, y.status AS event_status, y.l2, y.evidence_score, {_LEVEL} AS lv, h.alert_id, h.level, h.status, CASE WHEN y.l2 < 2 AND h.level IS NOT NULL THEN 'CLOSE' WHEN y.l2 >= 2 AND h.level IS NULL THEN 'RAISE' WHEN y.l2 > CASE h.level WHEN 'RED' THEN 3 ELSE 2 END THEN 'ESCALATE' END AS change FROM y LEFT JOIN h ON h.event_id = y.event_id)"""
+
+
+@query("fx_alerts", "fx_incidents", sql=f"""{_EVALUATED} SELECT a.event_id, CASE m.change WHEN 'ESCALATE' THEN m.lv ELSE a.level END AS level, CASE m.change WHEN 'ESCALATE' THEN 'ACTIVE' WHEN 'CLOSE' THEN 'CLOSED' ELSE a.status END AS status, CASE WHEN m.change = 'ESCALATE' THEN a.level END AS previous_level, CASE WHEN m.change = 'ESCALATE' THEN round(m.evidence_score, 4) END AS evidence,
+CASE WHEN m.change = 'CLOSE' THEN CASE WHEN m.event_status IN ('REJECTED', 'RESOLVED') THEN 'event ' || lower(m.event_status) || ' by review' ELSE 'event de-escalated to ' || m.lv END END AS closed_reason FROM fx_alerts a LEFT JOIN m ON m.alert_id = a.alert_id
+UNION ALL SELECT event_id, lv, 'ACTIVE', NULL, round(evidence_score, 4), NULL FROM m WHERE change = 'RAISE'""")
+def alerts_evaluated(al: DataFrame, e: DataFrame) -> DataFrame:
+    """All alerts after the events were looked at again."""
+    return lc.evaluate_alerts(al, e, fx.AS_OF)[0].select("event_id", "level", "status", "previous_level", F.col("evidence_snapshot.evidence_score").alias("evidence"), "closed_reason")
+
+
+@query("fx_alerts", "fx_incidents", sql=f"{_EVALUATED} SELECT event_id, change, lv AS level, level AS previous FROM m WHERE change IS NOT NULL")
+def alert_changes(al: DataFrame, e: DataFrame) -> DataFrame:
+    return lc.evaluate_alerts(al, e, fx.AS_OF)[1].select("event_id", "change", "level", "previous")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazardspark import registry
-from hazardspark.operators import analytics, browse, clustering, credibility, dedupe, evidence, gazetteer, geo, intake, lifecycle, models, scoring
+from hazardspark.operators import analytics, browse, clustering, credibility, dedupe, embedder, evidence, gazetteer, geo, intake, lifecycle, models, scoring
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,6 +146,26 @@ def test_enrich_twice_adds_nothing(spark):
     assert intake.enrich(raw, cities, aliases, gaz, obs, got.select("raw_event_id")).count() == 0
 
 
+def test_enrich_with_vectors(spark):
+    """Copies are found by meaning, and what the model takes for no report has no weather signal."""
+    payload = "text string, author string, reporter_handle string, observed_at string, latitude double, longitude double, city_hint string, media array<string>"
+    said = ["heavy rain and a flood by the river", "the river flood and heavy rain by a", "cricket match tickets rain flood", "", None]
+    rows = [(f"r{i}", i, "CITIZEN", f"x{i}", (s, "a", None, f"2024-01-01T10:0{i}:00", 15.0, 73.8, "Goa", None)) for i, s in enumerate(said)]
+    raw = spark.createDataFrame(rows, f"raw_event_id string, source_id int, source_type string, external_id string, payload struct<{payload.replace(' ', ':').replace(',:', ',')}>").withColumn("collected_at", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    cities = spark.createDataFrame([(0, "Goa", 15.0, 73.8, "NG", "GA")], "ordinal int, name string, latitude double, longitude double, district string, state string")
+    aliases, gaz = spark.createDataFrame([], "ordinal int, name string, city string"), spark.createDataFrame([], "name string, latitude double, longitude double, kind string, state string, district string, ambiguous boolean")
+    obs = spark.createDataFrame([], "city string, time timestamp_ntz, precipitation_mm double, temperature_c double, wind_speed_kmh double, humidity_pct double, visibility_m double")
+    learn = spark.createDataFrame([(s, y) for s, y in [(said[0], 0), ("flood water in the river", 0), ("heavy rain", 0), ("cricket match tickets", 1), ("match tickets", 1), ("cricket", 1)] for _ in range(5)], "text string, y int")
+    by = embedder.learned(embedder.fit(learn, size=8))
+    head = models.fit_binary(by(learn, "text", "v"), "v", "y", c=1000.0)
+    got = {r.raw_event_id: r for r in intake.enrich(raw, cities, aliases, gaz, obs, embedder=by, off_topic=head).collect()}
+    assert len(got) == 5 and got["r1"].duplicate_of_report_id == "r0" and got["r1"].duplicate_method == "semantic" and got["r0"].duplicate_of_report_id is None
+    assert "NO_WEATHER_SIGNAL" in got["r2"].flags and got["r2"].off_topic_probability >= 0.5 and "NO_WEATHER_SIGNAL" not in got["r0"].flags
+    assert got["r3"].embedding is None and "NO_WEATHER_SIGNAL" in got["r3"].flags
+    plain = {r.raw_event_id: r for r in intake.enrich(raw, cities, aliases, gaz, obs).collect()}
+    assert "NO_WEATHER_SIGNAL" not in plain["r2"].flags and "embedding" not in plain["r2"]
+
+
 def test_heads_and_embedder(spark):
     rows = [(i, ("rain flood water " if i % 2 else "stock match league ") + f"n{i}", i % 2) for i in range(60)]
     df = models.embedded(spark.createDataFrame(rows, "id long, text string, y int"), "text", 64)
