@@ -174,6 +174,16 @@ def test_toxicity(spark):
     assert 0 <= got[999].score <= 1 and len(got) == 242
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """Each of 1200 telling words is in ten texts, so a sample of a few thousand labels knows few of them; odds alone, no epoch."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join([rnd.choice("abcdefgh") * 3 for _ in range(6)] + [f"m{i % 1200}" if i % 2 else f"n{i % 1200}"]), i % 2) for i in range(12000)]
+    df = spark.createDataFrame([*rows, (None, "m1 m3", 0)], "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(df, df.union(df.where("doc_id = 7")), language_id.fit(df.withColumn("lang", F.lit("en"))), epochs=0)
+    got = {r.doc_id: r.predicted for r in toxicity.score(df, model).collect()}
+    assert np.mean([got[i] == y for i, _, y in rows]) > 0.95
+
+
 def test_context_mixing(spark):
     df, by_id = docs(spark)
     got = {r.doc_id: r for r in context_mixing.score(df, F.col("doc_id") % 2 == 0).collect()}
