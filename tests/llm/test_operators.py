@@ -281,6 +281,34 @@ def test_context_mixing_equals_a_slow_loop(spark):
     assert m.share(100) == 1 and m.share(10**9) * 10**9 > 10**7
 
 
+def test_first_weights_cost_least_over_all_training_texts(spark):
+    m = context_mixing
+    df, _ = docs(spark)
+    df = df.union(spark.range(1000, 3600).selectExpr("id", "concat('Text w', id % 50, ' of W', id % 7, '. Number ', id)", "'en'", "'x'"))
+    docs_ = df.select("doc_id", "text", F.lit(True).alias("train"))
+    pieces = m.in_pieces(docs_)
+    fitted = m.fit(docs_, pieces)
+    model = fitted.held.value
+    known = m.Answers(*m.added([m.counts_read(r.data) for r in fitted.counts.where("word = 0").collect()]), model.trees)
+    bits = []
+    for r in m.type_counts(pieces, fitted.shards).where("word = 0").collect():
+        n, t = m.types_read(r.data)
+        key = np.unique(t.keys(t.symbols())[0])
+        odds, gate, many = model.features(t, m.Deep(key, *known.of(key, 1), model.trees))
+        bits.append((odds / m.UNIT, gate, np.repeat(n, many)))
+    x, gate, n = (np.concatenate(y) for y in zip(*bits, strict=True))
+
+    def cost(w):
+        z = np.clip((x * w[gate >> 1]).sum(axis=1), -m.LIMIT, m.LIMIT)
+        return (n * np.log1p(np.exp(np.where(gate & 1, -z, z)))).sum()
+
+    least = cost(fitted.weights)
+    for g, k, step in itertools.product(range(m.GATES), range(4), (-0.1, 0.1)):
+        w = fitted.weights.copy()
+        w[g, k] += step
+        assert cost(w) > least * (1 - 1e-4), (g, k, step)
+
+
 def test_segments_are_those_of_a_plain_loop():
     texts = [b"", b" ", b"a", b" a", b"a ", b"  Ab. C\n", "É Xy!".encode(), b"x" * 32, b"y" * 65 + b" " * 33, b"A" * 32 + b"?"]
     got = context_mixing.Segments(texts)
