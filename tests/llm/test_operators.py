@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
@@ -309,6 +310,38 @@ def test_first_weights_cost_least_over_all_training_texts(spark):
         assert cost(w) > least * (1 - 1e-4), (g, k, step)
 
 
+def test_sums_by_key_are_exact():
+    r = random.Random(3)
+    for top in (1, 2**23, 2**52, 2**64):
+        for most in (1, 5000, 2**45):
+            rows = [(r.choice([0, top - 1, r.randrange(top)]), r.choice([0, 1, r.randrange(most)])) for _ in range(500)]
+            want = Counter()
+            for k, n in rows:
+                want[k] += n
+            key, n = context_mixing.summed(np.array([k for k, _ in rows], np.uint64), np.array([n for _, n in rows]))
+            assert list(zip(key.tolist(), n.tolist(), strict=True)) == sorted(want.items())
+            assert context_mixing.distinct(np.array([k for k, _ in rows], np.uint64)).tolist() == sorted(want)
+    assert [len(x) for x in context_mixing.added([])] == [0, 0]
+
+
+def test_places_of_bits_are_not_held_for_a_whole_chunk():
+    """Some documents at a time are laid out for mixing in few bytes a bit."""
+    m = context_mixing
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["of", "the", "a", "Fire", "flooded", "w%d" % rnd.randrange(99)]) for _ in range(500)).encode() for _ in range(250)]
+    none = np.zeros(len(texts), bool)
+    piece = m.Piece.of(texts, np.arange(len(texts)), none, ~none)
+    t = m.trees(np.zeros((m.BEFORE, m.SYMBOLS), np.int64))
+    model = m.Model(t, np.zeros(m.BEFORE * 512, np.int8), *(np.zeros(1 << m.SLOTS, np.int8) for _ in range(2)))
+    deep = m.Deep(piece.keys()[0], np.zeros(len(piece.keys()[0]), np.uint8), np.empty(0, np.int8), t)
+    tracemalloc.start()
+    try:
+        bits = [len(gate) for (odds, gate, at), text in model.lanes(piece, deep, np.arange(len(texts)))]
+        assert tracemalloc.get_traced_memory()[1] < 10 * sum(bits)
+    finally:
+        tracemalloc.stop()
+
+
 def test_segments_are_those_of_a_plain_loop():
     texts = [b"", b" ", b"a", b" a", b"a ", b"  Ab. C\n", "É Xy!".encode(), b"x" * 32, b"y" * 65 + b" " * 33, b"A" * 32 + b"?"]
     got = context_mixing.Segments(texts)
