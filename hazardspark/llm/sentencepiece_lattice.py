@@ -28,7 +28,7 @@ from hazardspark.llm import common as c
 
 FOLD = 256
 LAST = 10.0
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 _SPACE, _LITERAL = 0x2581, 1 << 21
 _SEGMENT = re.compile(r" *[^ ]+| +")
 _EDGES = "array<array<array<struct<n:int,id:int,w:double>>>>"
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, model: str | None = None, id: str = "doc_id", text:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in c.pieces(texts, CHUNK):
                 index = Numbers()
-                rows = [np.fromiter(map(index.__getitem__, _SEGMENT.findall(" " + t)), np.int64) if t else np.empty(0, np.int64) for t in texts[lo:hi]]
+                rows = [np.fromiter(map(index.__getitem__, _SEGMENT.findall(" " + t)), np.int32) if t else np.empty(0, np.int32) for t in texts[lo:hi]]
                 own, which, at = irreducible(list(index), table)
                 for a, b in c.pieces(own, c.CHUNK_BYTES // 8):
                     yield pa.RecordBatch.from_arrays([none(b - a, pa.int64()), none(b - a, pa.binary()), lattice(own[a:b], table)], names=["doc_id", "payload", "edges"])

@@ -310,6 +310,11 @@ def test_first_weights_cost_least_over_all_training_texts(spark):
         assert cost(w) > least * (1 - 1e-4), (g, k, step)
 
 
+def test_segments_of_one_scan_task_are_folded_once():
+    """16 MB of a compressed file hold some 27 MB of text: one chunk, whose equal segments share their fold."""
+    assert len(list(c.pieces(["x" * (1 << 20)] * 27, sentencepiece_lattice.CHUNK))) == 1
+
+
 def test_sums_by_key_are_exact():
     r = random.Random(3)
     for top in (1, 2**23, 2**52, 2**64):
