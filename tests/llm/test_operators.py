@@ -474,3 +474,73 @@ def test_empty_tables(spark):
     assert sentencepiece_lattice.encode(none).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert topk.top_k(vectors, F.lit(True)).count() == 0 and embedding_dedup.near_duplicates(vectors).count() == 0
+
+
+def test_newtons_sums_are_those_of_a_plain_loop():
+    m = context_mixing
+    rnd = np.random.default_rng(5)
+    x, gate, times = rnd.integers(-127, 128, (300, 4)).astype(np.int8), np.sort(rnd.integers(0, 2 * m.GATES, 300)).astype(np.uint8), rnd.integers(1, 10**6, 300)
+    weights = rnd.normal(0, 1, (m.GATES, 4))
+    got = m.slopes(x.view(np.uint32).ravel(), gate, times, weights)
+    for i in range(300):
+        y, bit = x[i] / m.UNIT, int(gate[i]) & 1
+        p = 1 / (1 + math.exp(-np.clip(y @ weights[gate[i] >> 1], -m.LIMIT, m.LIMIT)))
+        want = [-math.log(p if bit else 1 - p), *((bit - p) * y), *(p * (1 - p) * y[j] * y[k] for j in range(4) for k in range(j, 4))]
+        assert np.allclose(got[:, i], times[i] * np.array(want), rtol=1e-9, atol=1e-9)
+
+
+def test_bits_mixed_side_by_side_cost_what_they_cost_one_by_one():
+    m = context_mixing
+    rnd = np.random.default_rng(6)
+    size = np.array([1, 700, 64, 3, 65, 200])
+    at = np.append(0, np.cumsum(size))
+    x, gate = rnd.integers(-127, 128, (at[-1] + m._STEPS, 4)).astype(np.int8), rnd.integers(0, m.GATES, at[-1] + m._STEPS).astype(np.uint8)
+    weights = rnd.normal(0, 0.3, (m.GATES, 4))
+    got = m.mixed(x.view(np.int32).ravel(), gate, at, weights)
+    for lane, (lo, hi) in enumerate(itertools.pairwise(at)):
+        cost, w = 0.0, weights.copy()
+        for y, g in zip(x[lo:hi] / m.UNIT, gate[lo:hi], strict=True):
+            p = 1 / (1 + math.exp(-np.clip(y @ w[g], -m.LIMIT, m.LIMIT)))
+            cost -= math.log(p)
+            w[g] += m.RATE * (1 - p) * y
+        assert got[lane] == pytest.approx(cost, rel=1e-4)
+
+
+def test_hashes_are_numbered_though_their_first_bits_agree():
+    """Hashes are sorted with their places as last bits: where only the last bits differ, too."""
+    m = context_mixing
+    r = random.Random(7)
+    for h in ([], [9], [3, 1, 3, 2, 1], [r.randrange(40) for _ in range(999)], [r.randrange(9) << 60 | r.randrange(9) for _ in range(999)], [r.randrange(2**64) for _ in range(999)] * 2):
+        own, first, back = m.numbered(np.array(h, np.uint64))
+        assert own.tolist() == sorted(set(h)) and [h[i] for i in first] == own.tolist() and own[back].tolist() == h
+        order = m.places(np.array(h, np.uint64))
+        assert sorted(order.tolist()) == list(range(len(h))) and [h[i] for i in order] == sorted(h)
+
+
+def test_keys_are_found_among_many_of_one_context():
+    m = context_mixing
+    r = random.Random(8)
+    t = m.trees(np.zeros((m.BEFORE, m.SYMBOLS), np.int64))
+    for contexts, symbols in ((0, 1), (1, 1), (1, 258), (3000, 3), (50, 200)):
+        key = sorted({r.randrange(2**34) << 18 | r.randrange(m.BEFORE) << 9 | s for _ in range(contexts) for s in r.sample(range(258), symbols)} | {c_ << 18 | s for c_ in range(min(contexts, 1)) for s in range(symbols)})
+        level = np.array([r.randrange(9) for _ in key], np.uint8)
+        deep = m.Deep(np.array(key, np.uint64), level, np.empty(0, np.int8), t)
+        asked = np.array([r.randrange(len(key)) for _ in range(500 * bool(key))], np.int64)
+        got, _, begin = deep.of(np.array(key, np.uint64)[asked])
+        assert got.tolist() == level[asked].tolist() and begin.tolist() == deep.begin[asked].tolist()
+
+
+def test_laying_out_bits_holds_no_place_of_each():
+    """Whole segments are copied: while a chunk is laid out, no number of eight bytes is there for each of its bits, nor for those of a part."""
+    m = context_mixing
+    bits = np.arange(1 << 20, dtype=np.int32)
+    at = np.arange(0, len(bits) + 1, 64)
+    of, which = m.strings(bits, at), np.random.default_rng(9).integers(0, len(at) - 1, 20000)
+    tracemalloc.start()
+    try:
+        got = m.taken(of, which, np.int32)
+        assert tracemalloc.get_traced_memory()[1] < got.nbytes / 2
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got.reshape(-1, 64), bits.reshape(-1, 64)[which])
+    assert len(m.taken(of, which[:0], np.int32)) == 0
