@@ -15,13 +15,18 @@ distinct word n-grams. The product is never formed whole:
    tasks, so no task gathers all its documents: a batch sends a head with the
    range of sizes behind it, and heads meet where their ranges may link.
 3. The documents of a candidate component are cut by size and, where many, by
-   hash into row blocks of about TILE; each pair of row blocks whose sizes may
-   link is multiplied exactly, in strips of columns, and again a spanning
-   forest of the linked pairs leaves it.
+   hash into row blocks, and each row block meets those whose sizes may link.
+   First blocks of about WIDE signatures meet: parities of a set's hashes, about
+   a bit for each gram. Two signatures differ in no more bits than the
+   sets in grams, so a pair that differs in too many can't link and goes, and no link is lost. Only
+   what is left of a component meets again, with its texts, in blocks of about TILE:
+   each pair of row blocks is multiplied exactly, in strips of columns. A spanning
+   forest of the pairs leaves either step.
 
 Equal sets are one row (64-bit fingerprint) in all of this. The time grows with the
 square of the largest candidate component, as it must where thousands of
-different texts are near the threshold; rows written and shuffled do not.
+different texts are near the threshold. Signatures, a fiftieth of the text, are copied for each row block
+of such a component; texts only within components of sets that are alike by signature.
 """
 
 from __future__ import annotations
@@ -36,9 +41,11 @@ from pyspark.sql import functions as F
 from hazardspark.llm import common as c
 
 TILE = 512
+WIDE = 1024
 HOT = 4096
 MOST_BITS = 24
 STRIP = 2048
+SIGN_BITS = 6, 15  # of a signature: powers of two, least and most
 _COPY = np.uint64(0x94D049BB133111EB)
 
 
@@ -79,6 +86,38 @@ def fingerprints(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return c.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64) * _COPY).view(np.int64)
 
 
+def signatures(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set: for each place of 2**b the parity of how many hashes have it as last b bits; 2**b is at least the set's size, within SIGN_BITS."""
+    size = np.diff(at)
+    least, most = SIGN_BITS
+    bits = np.int64(1) << np.clip(np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64), least, most)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, size) + (grams & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    data = np.packbits(np.bincount(place, minlength=ends[-1] if len(ends) else 0) & 1, bitorder="little").tobytes()
+    return [data[a:b] for a, b in zip((ends - bits) // 8, ends // 8, strict=True)]
+
+
+def folded(signature: bytes, size: int) -> bytes:
+    """The signature as one of so many bytes: parities of halves add up."""
+    x = np.frombuffer(signature, dtype=np.uint8)
+    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0).tobytes()
+
+
+def alike(signs: list[bytes], size: np.ndarray, percent: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, one of left and one of right, whose signatures leave room for a link: sets that link differ in at most (100 - percent) / (100 + percent) of their grams, both counted."""
+    width = min(map(len, signs))
+    m = np.frombuffer(b"".join(x if len(x) == width else folded(x, width) for x in signs), dtype=np.uint8).reshape(-1, width)
+    same = np.zeros((len(left), len(right)), dtype=np.float32)  # bits that agree less those that differ
+    for lo in range(0, width, STRIP // 16):
+        one = np.unpackbits(m[:, lo : lo + STRIP // 16], axis=1).astype(np.float32) * 2 - 1
+        same += one[left] @ one[right].T
+    apart = (8 * width - same.astype(np.int64)) // 2
+    small, large = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+    x, y = np.nonzero(((100 + percent) * apart <= (100 - percent) * (small + large)) & (percent * large <= 100 * small))
+    x, y = left[x], right[y]
+    return x[x != y], y[x != y]
+
+
 def bounds(percent: int) -> tuple:
     prefix = lambda s: s - -(-percent * s // 100) + 1
     need = lambda a, b: -(-percent * (a + b) // (100 + percent))
@@ -169,15 +208,15 @@ def linked(grams: np.ndarray, at: np.ndarray, percent: int, left: np.ndarray, ri
 
 
 def fingerprinted(docs: DataFrame, n: int, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node) for each row with an id: node is null for an empty set."""
+    """(doc_id, n_shingles, node, signature) for each row with an id: node is null for an empty set."""
 
     def rows(batches):
         for ids, texts in _each(batches):
             g, at = sets(texts, n)
             s = np.diff(at)
-            yield _batch("doc_id n_shingles node", ids, s, pa.array(fingerprints(g, at), mask=s == 0))
+            yield _batch("doc_id n_shingles node signature", ids, s, pa.array(fingerprints(g, at), mask=s == 0), pa.array(signatures(g, at), pa.binary()))
 
-    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(c.lean(rows), "doc_id long, n_shingles long, node long")
+    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(c.lean(rows), "doc_id long, n_shingles long, node long, signature binary")
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,8 +315,31 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
     base = math.log(100 / percent)
     whole = c.checkpointed(fingerprinted(docs, n))
     reps = whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("s"))
-    active = reps.join(near, "node").select("doc_id", F.col("component").alias("comp"), F.floor(F.log("s") / F.lit(base) + 1e-9).cast("int").alias("bin"))
-    active = c.checkpointed(active)
+    binned = F.col("component").alias("comp"), F.floor(F.log("s") / F.lit(base) + 1e-9).cast("int").alias("bin")
+    groups = c.width(docs) * 4
+
+    def compare(tab: pa.Table) -> pa.Table:
+        tab = tab.combine_chunks()
+        group = np.unique(np.stack([tab.column(x).to_numpy() for x in ("comp", "bin", "x", "y")]), axis=1, return_inverse=True)[1].ravel()
+        node, size, is_left, signs = tab.column("node").to_numpy(), tab.column("s").to_numpy(), tab.column("is_left").to_numpy(zero_copy_only=False), tab.column("signature")
+        order = np.argsort(group, kind="stable")
+        a, b = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        for part in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            nodes, first, row = np.unique(node[part], return_index=True, return_inverse=True)
+            if len(nodes) > 1:
+                left, right = np.unique(row[is_left[part]]), np.unique(row[~is_left[part]])
+                x, y = alike(signs.take(part[first]).to_pylist(), size[part[first]], percent, left, right)
+                parent = c.forest(len(nodes), x, y)
+                child = np.flatnonzero(parent != np.arange(len(parent)))
+                a.append(nodes[child])
+                b.append(nodes[parent[child]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    signed = c.checkpointed(reps.join(near, "node").select("doc_id", "node", "s", *binned))
+    signed = c.row_blocks(signed, ["comp"], "bin", "node", WIDE).join(whole.select("doc_id", "node", "signature"), ["doc_id", "node"])
+    signed = signed.withColumn("g", F.pmod(F.xxhash64("comp", "bin", "x", "y"), F.lit(max(groups, rows // 2000))))
+    near = c.components(signed.groupBy("g").applyInArrow(c.lean_group(compare), "a long, b long"))
+    active = c.checkpointed(reps.join(near, "node").select("doc_id", *binned))
     placed = c.row_blocks(active, ["comp"], "bin", "doc_id", TILE)
     member = np.uint64(64 - 25)
 
@@ -312,12 +374,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "doc
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     text_of = docs.mapInArrow(c.lean(wanted), "doc_id long, text string").dropDuplicates(["doc_id"])
-    groups = c.width(docs) * 4
     work = placed.join(text_of, "doc_id").withColumn("g", F.pmod(F.xxhash64("comp", "bin", "x", "y"), F.lit(max(groups, rows // 2000))))
     links = work.groupBy("g").applyInArrow(c.lean_group(verify), "a long, b long")
     found = c.components(links).withColumnRenamed("node", "rep")
     return (
-        whole.join(reps.select("node", F.col("doc_id").alias("rep")), "node", "left")
+        whole.drop("signature").join(reps.select("node", F.col("doc_id").alias("rep")), "node", "left")
         .join(found, "rep", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     )

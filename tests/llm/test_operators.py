@@ -84,6 +84,41 @@ def test_very_frequent_grams_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard(df, 1, 85).collect()} == dict(enumerate(root.tolist()))
 
 
+def test_signatures_lose_no_link_and_part_unlike_sets():
+    rnd = np.random.default_rng(6)
+    core = rnd.integers(0, 1 << 63, 300).astype(np.uint64)
+    near = [np.unique(np.concatenate([core[k:], rnd.integers(0, 1 << 63, 2 * k).astype(np.uint64)])) for k in range(40)]
+    g = [*near, *(np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64)) for n in (250, 300, 330, 1, 64, 65))]
+    size, signs = np.array(list(map(len, g))), ngram_jaccard.signatures(np.concatenate(g), np.cumsum([0, *map(len, g)]))
+    assert [8 * len(x) for x in signs[-6:]] == [256, 512, 512, 64, 64, 128]
+    g, size, signs = g[:-3], size[:-3], signs[:-3]
+    everyone = np.arange(len(g))
+    x, y = ngram_jaccard.alike(signs, size, 85, everyone, everyone)
+    kept, linked = set(zip(x.tolist(), y.tolist(), strict=True)), 0
+    for i, j in itertools.permutations(range(len(g)), 2):
+        o = len(np.intersect1d(g[i], g[j]))
+        if 100 * o >= 85 * (size[i] + size[j] - o):
+            linked += 1
+            assert (i, j) in kept
+    assert linked > 100 and not any(max(p) >= 40 for p in kept)
+
+
+def test_texts_of_unlike_candidates_are_not_copied(spark, monkeypatch):
+    placed, blocks = [], c.row_blocks
+    monkeypatch.setattr(c, "row_blocks", lambda rows, by, bin, id, *a, **k: placed.append((id, rows.count())) or blocks(rows, by, bin, id, *a, **k))
+    rnd = random.Random(7)
+    own = [[] for _ in range(60)]
+    for k in range(2520):  # each word is in two texts, each two texts share one or two words
+        for i in rnd.sample(range(60), 2):
+            own[i].append(f"w{k}")
+    texts = [" ".join(x) for x in own]
+    texts += [texts[7] + " end", "alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.ngram_jaccard(df, 1, 85).collect()}
+    assert got == {i: 7 if i == 60 else i for i in range(62)}
+    assert dict(placed)["doc_id"] == 2
+
+
 def test_heads_meet_where_ranges_may_link():
     rnd = np.random.default_rng(4)
     key, least = rnd.integers(0, 5, 40).astype(np.uint64), rnd.integers(1, 400, 40)
