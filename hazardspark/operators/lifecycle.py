@@ -216,7 +216,7 @@ def status_history(rows: DataFrame) -> DataFrame:
     return got.where("old_status is null or old_status <> new_status")
 
 
-def due(sources: DataFrame, as_of: str) -> DataFrame:
-    """Active sources that never succeeded or whose interval (a second at least) has passed."""
+def due(sources: DataFrame, as_of: str, least: int = 1) -> DataFrame:
+    """Active sources that never succeeded or whose interval (least seconds at least) has passed."""
     gone = F.timestamp_diff("SECOND", F.col("last_success"), F.lit(as_of).cast("timestamp_ntz"))
-    return sources.where((F.col("status") == "ACTIVE") & (F.col("last_success").isNull() | (gone >= F.greatest(F.lit(1), F.col("interval_s")))))
+    return sources.where((F.col("status") == "ACTIVE") & (F.col("last_success").isNull() | (gone >= F.greatest(F.lit(least), F.col("interval_s")))))
