@@ -44,3 +44,15 @@ def test_texts_beside_the_reports_give_the_same(spark):
     told = lambda df: sorted((r.report_id, r.other_id, r.similarity) for r in df.collect())
     own = spark.createDataFrame([(x,) for x in [*texts, texts[0]]], "normalized_text string")
     assert told(dedupe.fuzzy(dedupe.without_texts(rows), texts=own)) == told(dedupe.fuzzy(rows)) != []
+
+
+def test_ordered_stores_no_text_of_a_report(spark, monkeypatch):
+    from hazardspark import storage
+
+    seen, at = [], storage.Scratch._at
+    monkeypatch.setattr(storage.Scratch, "_at", lambda self, df, path: seen.extend(df.columns) or at(self, df, path))
+    texts = ["heavy rain floods the old market road", "heavy rain floods the old market road!"]
+    rows = spark.createDataFrame([(i, texts[i]) for i in range(2)], "report_id long, normalized_text string")
+    rows = rows.select("report_id", F.lit(1).alias("source_id"), F.lit("").alias("external_id"), F.md5("normalized_text").alias("text_hash"), "normalized_text", F.lit(10.0).alias("latitude"), F.lit(70.0).alias("longitude"), F.lit("D").alias("district"), F.timestamp_seconds(F.col("report_id") * 60).alias("observed_at"))
+    got = dedupe.ordered(dedupe.without_texts(rows), texts=rows.select("normalized_text")).collect()
+    assert [(r.report_id, r.target, r.method) for r in got] == [(1, 0, "fuzzy_text")] and "digest" in seen and "normalized_text" not in seen
